@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trove.llm.language_id import collect_profiles, held_out, identify, train_profiles
 from trove.llm.url_filters import filter_urls, rule_table
 from trove.plans.tables import table
 
@@ -35,9 +37,17 @@ FROM parts p LEFT JOIN LATERAL (
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by profiles of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = collect_profiles(train_profiles(docs.where(~held_out(F.col("doc_id")))))
+    found = identify(docs, profiles)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    return {"op2_url_filters": op2_url_filters}
+    return {"op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
