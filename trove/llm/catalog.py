@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trove.llm.language_id import collect_profiles, held_out, identify, train_profiles
+from trove.llm.quality_rules import robust_outliers
 from trove.llm.url_filters import filter_urls, rule_table
 from trove.plans.tables import table
 
@@ -45,11 +46,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and robust distance of every document."""
+    return robust_outliers(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    return {"op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id}
+    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op2_url_filters": OP2_SQL}
+    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": OP2_SQL}
