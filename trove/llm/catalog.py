@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trove.llm.language_id import collect_profiles, held_out, identify, train_profiles
+from trove.llm.order_minhash import near_duplicates
 from trove.llm.quality_rules import robust_outliers
 from trove.llm.url_filters import filter_urls, rule_table
 from trove.plans.tables import table
@@ -51,9 +52,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers(table(spark, sf_dir, "documents"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id}
+    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op5_order_minhash": op5_order_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
