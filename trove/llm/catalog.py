@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trove.llm.byte_bpe import round_trip
 from trove.llm.language_id import collect_profiles, held_out, identify, train_profiles
 from trove.llm.order_minhash import near_duplicates
 from trove.llm.quality_rules import robust_outliers
+from trove.llm.token_counts import count_tokens
 from trove.llm.url_filters import filter_urls, rule_table
 from trove.plans.tables import table
 
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
@@ -57,9 +68,20 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op5_order_minhash": op5_order_minhash}
+    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_token_counts": op4_token_counts,
+        "op5_order_minhash": op5_order_minhash, "op6_byte_bpe": op6_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
