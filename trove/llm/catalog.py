@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trove.llm.byte_bpe import round_trip
 from trove.llm.language_id import collect_profiles, held_out, identify, train_profiles
 from trove.llm.order_minhash import near_duplicates
+from trove.llm.packing import pack
 from trove.llm.quality_rules import robust_outliers
 from trove.llm.token_counts import count_tokens
 from trove.llm.url_filters import filter_urls, rule_table
@@ -78,10 +79,15 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
     return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_token_counts": op4_token_counts,
-        "op5_order_minhash": op5_order_minhash, "op6_byte_bpe": op6_byte_bpe}
+        "op5_order_minhash": op5_order_minhash, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trove.llm.codepoints import LETTER, MARK, classes, decode
 
@@ -166,18 +167,21 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, lang_pred, score (0 to 1).
+def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: id, lang_pred, score (0 to 1), and the columns named in ``keep``, prefixed ``in_``.
 
     Only the text is read.  ``und`` with score 0 stands for a null or empty text, one without a letter, or no profile;
     ties between languages go to the first by name.  Texts of any length are ranked whole; other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    rows = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"in_{c}") for c in keep or []], F.col(text_col).alias("text"))
+    carried = rows.columns[:-1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
+            found = [shared.value.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            results = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *results], [*carried, "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(work, schema).withColumnRenamed("id", id_col)
