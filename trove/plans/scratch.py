@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -40,6 +41,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to this many key rows are broadcast (some 24 MB of ids); more go through a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def sized(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint on a side whose row count was checked against a bound; without it above the bound."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a scratch table that no later plan reads."""
     spark = df.sparkSession
