@@ -14,6 +14,7 @@ from trove.llm.packing import pack
 from trove.llm.quality_rules import robust_outliers
 from trove.llm.token_counts import count_tokens
 from trove.llm.url_filters import filter_urls, rule_table
+from trove.llm.warc import archive_round_trip
 from trove.plans.tables import table
 
 
@@ -84,12 +85,39 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT page_id, html, hex, max(page_id) OVER (PARTITION BY html) AS response,
+  array_to_string(list_transform(string_split(hex, ''), lambda c: right(bin(instr('0123456789abcdef', c) + 15), 4)), '') AS b FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
+      + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM bits
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
-    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": op2_url_filters, "op3_language_id": op3_language_id, "op4_token_counts": op4_token_counts,
-        "op5_order_minhash": op5_order_minhash, "op6_byte_bpe": op6_byte_bpe, "op7_packing": op7_packing}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op2_url_filters": op2_url_filters,
+        "op3_language_id": op3_language_id,
+        "op4_token_counts": op4_token_counts,
+        "op5_order_minhash": op5_order_minhash,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_packing": op7_packing,
+        "op8_warc": op8_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op1_quality_rules": op1_quality_rules, "op2_url_filters": OP2_SQL}
+    return {"op2_url_filters": OP2_SQL, "op8_warc": OP8_SQL}
