@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trove.llm.byte_bpe import round_trip
+from trove.llm.fingerprints import compare_edits
 from trove.llm.language_id import collect_profiles, held_out, identify, train_profiles
 from trove.llm.order_minhash import near_duplicates
 from trove.llm.packing import pack
@@ -104,6 +105,11 @@ FROM bits
 """
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return compare_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage."""
     return {
@@ -115,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_packing": op7_packing,
         "op8_warc": op8_warc,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
