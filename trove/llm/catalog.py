@@ -14,6 +14,7 @@ from trove.llm.order_minhash import near_duplicates
 from trove.llm.packing import pack
 from trove.llm.quality_rules import robust_outliers
 from trove.llm.token_counts import count_tokens
+from trove.llm.training_order import training_order
 from trove.llm.url_filters import filter_urls, rule_table
 from trove.llm.warc import archive_round_trip
 from trove.plans.tables import table
@@ -105,6 +106,11 @@ FROM bits
 """
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as shuffled sequences in fixed-stride shards, read back."""
+    return training_order(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), key=20240101)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return compare_edits(table(spark, sf_dir, "documents"))
@@ -121,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_packing": op7_packing,
         "op8_warc": op8_warc,
+        "op9_training_order": op9_training_order,
         "op10_fingerprints": op10_fingerprints,
     }
 
