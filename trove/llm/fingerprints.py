@@ -69,30 +69,35 @@ def _piece(key: Column, bounds: list[int]) -> tuple[Column, Column]:
     return coarse * width + F.size(below) - 1, F.get(below, F.size(below) - 1)
 
 
-def with_next(rows: DataFrame, key_col: str, carried: list[str]) -> DataFrame:
-    """Add next_<c> for each carried column: its value in the next row by ascending key (after the last: the first).
+def in_pieces(rows: DataFrame, key_col: str) -> DataFrame:
+    """Rows hash-partitioned by piece of the key range, with columns _piece and _tail.
 
-    The keys' range is cut at approximate quantiles, which are keys of rows.  A row at a bound is also copied to the end
-    of the piece before it (the first of all to the end of the last piece), so each piece finds its successors by itself
-    and no window spans the table.  Rows of equal keys follow the order of the carried columns.
+    The range is cut at approximate quantiles, which are keys of rows.  A row at a bound is also copied, with _tail 1, to the
+    piece before it (the first of all to the last piece), so each piece finds its successors by itself and no window
+    spans the table.
     """
-    spark = rows.sparkSession
-    pieces = min(MAX_PIECES, PIECES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = min(MAX_PIECES, PIECES_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probes = [i / pieces for i in range(1, pieces)] or [0.5]
     least, inner = rows.agg(F.min(key_col), F.percentile_approx(key_col, probes, 10 * pieces)).first()
     if least is None:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
+        return rows.withColumn("_piece", F.lit(0)).withColumn("_tail", F.lit(0))
     bounds = sorted({least, *inner})
     number, bound = _piece(F.col(key_col), bounds)
-    before = (F.col("_piece") + len(bounds) - 1) % len(bounds)
-    own = F.struct(F.col("_piece").alias("piece"), F.lit(0).alias("tail"))
+    before = (F.col("_own") + len(bounds) - 1) % len(bounds)
+    own = F.struct(F.col("_own").alias("piece"), F.lit(0).alias("tail"))
     tail = F.struct(before.alias("piece"), F.lit(1).alias("tail"))
-    placed = rows.withColumn("_piece", number).withColumn("_bound", bound)
-    placed = placed.withColumn("_at", F.explode(F.when(F.col("_bound") == F.col(key_col), F.array(own, tail)).otherwise(F.array(own)))).drop("_piece", "_bound")
-    order = Window.partitionBy("_at.piece").orderBy("_at.tail", key_col, *carried)
-    for c in carried:
-        placed = placed.withColumn(f"next_{c}", F.lead(c).over(order))
-    return placed.where("_at.tail = 0").drop("_at")
+    placed = rows.withColumn("_own", number).withColumn("_bound", bound)
+    placed = placed.withColumn("_at", F.explode(F.when(F.col("_bound") == F.col(key_col), F.array(own, tail)).otherwise(F.array(own))))
+    return placed.withColumn("_piece", F.col("_at.piece")).withColumn("_tail", F.col("_at.tail")).drop("_own", "_bound", "_at").repartition("_piece")
+
+
+def with_next(placed: DataFrame, key_col: str, carried: list[str]) -> DataFrame:
+    """Add next_<c> for each carried column: its value in the next row by ascending key (after the last: the first).
+
+    placed: the result of ``in_pieces``.  Rows of equal keys follow the order of the carried columns.
+    """
+    order = Window.partitionBy("_piece").orderBy("_tail", key_col, *carried)
+    return placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).where("_tail = 0").drop("_piece", "_tail")
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +108,8 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of equal ids follow their texts; a single row is its own next.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
-    pairs = with_next(with_anchors(rows, "text"), "key", ["text", "anchors"])
+    # anchors are made after the shuffle, which moves the texts alone
+    pairs = with_next(with_anchors(in_pieces(rows, "key"), "text"), "key", ["text", "anchors"])
     size = F.length("text")
     quarter = F.floor(size / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - quarter), F.substring("next_text", F.lit(1), quarter))
