@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ END_ID = 50256
 FILL = 65535
 SHARD_ROWS = 2048
 ROUNDS = 6
+#: Compression of a sequence on its way to its shard.
+EXCHANGE_LEVEL = 6
+#: Partitions that write shards at most; each then writes a run of neighbouring shards.
+MOST_WRITERS = 16_384
 BATCH_CHARS = 1 << 20
 
 
@@ -123,24 +128,30 @@ def numbered(cut: DataFrame) -> tuple[DataFrame, int]:
 
 
 def with_slots(rows: DataFrame, n: int, key: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Add slot and shard to numbered rows."""
+    """Add slot and shard to numbered rows and compress their ids for the exchange."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=EXCHANGE_LEVEL)
         for batch in batches:
             slots = permute(batch.column(0).to_numpy(zero_copy_only=False), n, key)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots), pa.array(slots // shard_rows), batch.column(1)], ["sequence", "slot", "shard", "ids"])
+            ids = pa.array([pack.compress(row.as_buffer()) for row in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots), pa.array(slots // shard_rows), ids], ["sequence", "slot", "shard", "ids"])
 
     return rows.select("sequence", "ids").mapInArrow(work, "sequence long, slot long, shard long, ids binary")
 
 
 def write_shards(slotted: DataFrame, n: int, folder: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Write the shards; one row each: shard, path, first_slot, rows, crc32.  A missing or repeated slot fails the job."""
+    """Write the shards; one row each: shard, path, first_slot, rows, crc32.  A missing or repeated slot fails the job.
+
+    The ranges of slots are known, so rows go straight to their partition and nothing is sampled for bounds.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
         files, place = FileSystem.from_uri(folder)
         files.create_dir(place, recursive=True)
+        unpack = zstandard.ZstdDecompressor()
         out, shard, rows, crc, draft = None, -1, 0, 0, ""
 
         def close() -> pa.RecordBatch:
@@ -160,14 +171,15 @@ def write_shards(slotted: DataFrame, n: int, folder: str, shard_rows: int = SHAR
                     out = files.open_output_stream(draft, compression=None)
                 if slot != shard * shard_rows + rows:
                     raise ValueError(f"slot {slot} stands at place {rows} of shard {shard}")
-                data = ids.as_buffer()
+                data = unpack.decompress(ids.as_buffer())
                 out.write(data)
                 rows, crc = rows + 1, zlib.crc32(data, crc)
         if out is not None:
             yield close()
 
     shards = max(1, -(-n // shard_rows))
-    ordered = slotted.select("slot", "shard", "ids").repartitionByRange(shards, "shard").sortWithinPartitions("slot")
+    writers = min(shards, MOST_WRITERS)
+    ordered = slotted.select("slot", "shard", "ids").repartitionById(writers, F.expr(f"int(shard * {writers} div {shards})")).sortWithinPartitions("slot")
     return materialise(ordered.mapInArrow(work, "shard long, path string, first_slot long, rows long, crc32 long"), "shards")
 
 
