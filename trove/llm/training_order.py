@@ -233,4 +233,5 @@ def training_order(docs: DataFrame, json_file: str, rank_file: str, key: int = 1
     rows, n = numbered(cut)
     manifest = write_shards(with_slots(rows, n, key, shard_rows), n, folder, shard_rows)
     back = read_shards(manifest, folder, n, key, stride=stride)
-    return back.join(numbered(cut.drop("ids"))[0].select("sequence", "doc_ids"), "sequence")
+    # the planner takes what is read back for as small as the manifest; both sides grow with the input and are merged
+    return back.join(numbered(cut.drop("ids"))[0].select("sequence", "doc_ids").hint("merge"), "sequence")
