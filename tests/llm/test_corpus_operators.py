@@ -130,6 +130,45 @@ def test_banded_alignment_is_the_longest_common_subsequence(a, b):
     assert omh._banded_lcs(np.array(a, np.uint64), np.array(b, np.uint64), 50) == lcs(a, b)
 
 
+def moved(words, at, size, to):
+    rest = [*words[:at], *words[at + size :]]
+    return [*rest[:to], *words[at : at + size], *rest[to:]]
+
+
+def collinear(a, b):
+    """Similarity of two texts without repeats."""
+    x, y = ([tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in (a, b))
+    number = {g: i for i, g in enumerate(set(x) | set(y))}
+    n = lcs([number[g] for g in x], [number[g] for g in y])
+    return n / (len(x) + len(y) - n)
+
+
+def test_a_moved_paragraph_keeps_its_link(spark):
+    base = list(range(1004))
+    distance, similarity = omh.compare(np.array(base, np.int32), np.array(moved(base, 0, 50, 954), np.int32))
+    assert distance < 0.01 and similarity == pytest.approx(950 / 1050)
+    rng = random.Random(11)
+    pairs = []
+    for k in range(12):
+        base = [f"p{k}w{i}" for i in range(rng.randrange(150, 260))]
+        size = rng.choice([8, 12, 20, 40, 60])
+        pairs.append((base, moved(base, 0, size, len(base) - size)))
+    rows = [(2 * k + i, " ".join(t)) for k, pair in enumerate(pairs) for i, t in enumerate(pair)]
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = [collinear(*pair) >= 0.8 for pair in pairs]
+    assert len(set(want)) == 2 and [got[2 * k] == got[2 * k + 1] for k in range(12)] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=5, max_size=40), st.integers(0, 12), st.integers(1, 12))
+def test_repeated_texts_align_over_their_whole_length(a, at, size):
+    a, b = np.array(a, np.int32), np.array(moved(a, at, size, len(a)), np.int32)
+    ha, hb = omh.shingles(a), omh.shingles(b)
+    whole = lcs(ha, hb)
+    similarity, jaccard = whole / (len(ha) + len(hb) - whole), len(set(ha) & set(hb)) / len(set(ha) | set(hb))
+    assert jaccard < 0.8 or similarity < 0.8 or omh.compare(a, b)[1] >= 0.8
+
+
 def test_sketches_do_not_depend_on_blocks(monkeypatch):
     words = np.random.default_rng(1).integers(-(2**31), 2**31, size=700).astype(np.int32)
     whole = omh.sketch(words)
