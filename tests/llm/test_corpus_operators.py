@@ -169,6 +169,19 @@ def test_repeated_texts_align_over_their_whole_length(a, at, size):
     assert jaccard < 0.8 or similarity < 0.8 or omh.compare(a, b)[1] >= 0.8
 
 
+def test_repeated_passages_meet_texts_without_them(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(20):
+        base = [f"r{k}w{i}" for i in range(rng.randrange(100, 300))]
+        at = rng.randrange(len(base) // 2)
+        texts += [base, base * rng.randrange(2, 5), [*base, *base[at:] * 3]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(omh.compare(*(np.array([int(w.split("w")[1]) for w in t], np.int32) for t in (texts[i - i % 3], texts[i])))[1] >= 0.8 for i in got)
+    assert got == {i: i - i % 3 for i in got}
+
+
 def test_sketches_do_not_depend_on_blocks(monkeypatch):
     words = np.random.default_rng(1).integers(-(2**31), 2**31, size=700).astype(np.int32)
     whole = omh.sketch(words)
