@@ -81,6 +81,16 @@ def test_distances_match_a_plain_mcd_and_reject_the_odd_ones(spark):
     assert (want[:150] <= CUTOFF).all() and (want[150:] > CUTOFF).all()
 
 
+def test_a_third_of_identical_junk_does_not_hide_itself(spark):
+    rng = random.Random(7)
+    clean = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(rng.randint(60, 200))) for _ in range(100)]
+    junk = " ".join(f"w{i}$$$" for i in range(70))
+    for n in (50, 75):  # a third and three sevenths of the group
+        rows = [(i, t, "en", "s") for i, t in enumerate(clean + [junk] * n)]
+        got = {r.doc_id: r.kept for r in robust_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert all(got[i] for i in range(100)) and not any(got[i] for i in range(100, 100 + n))
+
+
 def test_small_groups_are_pooled(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)), "en" if i < 100 else "de", f"s{i % 7}") for i in range(130)]

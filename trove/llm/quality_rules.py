@@ -24,10 +24,10 @@ FLOORS = (0.08, 0.15, 0.15, 0.12)
 #: 1 - 1e-8 quantile of chi-square with four degrees of freedom.
 CUTOFF = 42.70
 #: Share of a group that the determinant is minimised over.
-SUPPORT = 0.75
+SUPPORT = 0.5
 #: Consistency factor of the covariance of that central share under normality, four dimensions:
 #: SUPPORT / P(chi2_6 <= q) with q the SUPPORT quantile of chi2_4.
-CONSISTENCY = 1.4864
+CONSISTENCY = 2.1091
 MIN_GROUP = 60
 STEPS = 4
 BINS_PER_OCTAVE = 8
@@ -224,7 +224,7 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stepped = _concentrate(points, fits)
         fits = materialise(stepped.select("grp", "start", "logdet", "n", *FIT_COLUMNS), "quality-fits")
     best = fits.groupBy("grp").agg(F.min(F.struct("logdet", "start", "n", *FIT_COLUMNS)).alias("b")).select("grp", "b.*")
-    enough = best.where(F.col("n") >= MIN_GROUP * SUPPORT - 1).drop("logdet", "start", "n")
+    enough = best.where(F.col("n") >= MIN_GROUP * SUPPORT - 0.25).drop("logdet", "start", "n")
     rows = stats.join(g.drop("feeds").join(enough, "grp", "left"), on, "left")
     judged = distance(rows)
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= cutoff))
