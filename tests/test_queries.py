@@ -50,6 +50,17 @@ def test_tokens_cover_the_text(spark):
     assert kinds == ["identifier", "identifier", "punctuation", "string", "punctuation", "number", "punctuation", "comment"]
 
 
+def test_every_page_is_tokenised(spark):
+    from trove.operators.texts import _TOKEN
+
+    want = {}
+    for page in table(spark, DIR, "pages").select("html").collect():
+        for m in _TOKEN.finditer(page.html or ""):
+            n, chars = want.get(m.lastgroup, (0, 0))
+            want[m.lastgroup] = n + 1, chars + len(m.group())
+    assert {r.kind: (r.n, r.chars) for r in catalog.queries()["tokenise"](spark, DIR).collect()} == want
+
+
 def test_leases_match_a_replay(spark):
     got = sorted((r.path, r.at, r.holder, r.verdict) for r in catalog.queries()["stream_leases"](spark, DIR).collect())
     rows = table(spark, DIR, "events").toPandas()
