@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.llm.bpe_cache import by_size
 from trove.llm.codepoints import LETTER, NUMBER, SPACE, classes, decode
+from trove.llm.vocabularies import by_size
 
-BATCH_CHARS = 1 << 20
-#: Distinct pre-tokens held per worker (about 120 MB in all); the older half goes first.
-CACHED_TOKENS = 300_000
+#: Distinct pre-tokens that a task holds (about 10 MB); frequent ones return at once after it was emptied.
+CACHED_TOKENS = 50_000
 
 # Symbols.  BLANK and WHITE are the last of their white-space run before other text; INNER is any other white space.
 L, N, O, BLANK, WHITE, INNER, QUOTE2, QUOTE3 = range(8)
@@ -181,8 +180,6 @@ class Vocabulary:
         pairs = {self.ranks[t[:k]] * size + self.ranks[t[k:]]: i for i, t in by_id.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
         self.pairs = np.array(sorted(pairs), dtype=np.int64)
         self.merged = np.array([pairs[k] for k in self.pairs.tolist()], dtype=np.int64)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def _pair_ranks(self, ids: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Rank of each id joined with the next one; NONE where no token results or the piece ends."""
@@ -221,26 +218,26 @@ class Vocabulary:
             ids, owner, lengths = ids[keep], owner[~finished], lengths[~finished] - 1
         return done
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, offsets): the ids of each text, and where each pre-token's ids begin among them (one more: the end)."""
+    def encode(self, texts: list[str], known: dict[str, bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, offsets): the ids of each text, and where each pre-token's ids begin among them (one more: the end).
+
+        known: pre-tokens already merged, with their ids; the task owns it and new ones are added.
+        """
         joined = "".join(texts)
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         begins = np.concatenate(([0], np.cumsum(lengths)))
         cuts = token_starts(symbols(decode(joined), begins[:-1][lengths > 0]))
         bounds = [*cuts.tolist(), len(joined)]
         slices = [joined[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-        unknown = set(slices).difference(self.new)
-        again = unknown.intersection(self.old)
-        self.new.update((p, self.old[p]) for p in again)
-        fresh = list(unknown - again)
-        self.new.update(zip(fresh, self.merge_many([p.encode("utf-8", "surrogatepass") for p in fresh]), strict=True))
-        coded = list(map(self.new.__getitem__, slices))
+        if len(known) > CACHED_TOKENS:
+            known.clear()
+        fresh = list(set(slices).difference(known))
+        known.update(zip(fresh, self.merge_many([p.encode("utf-8", "surrogatepass") for p in fresh]), strict=True))
+        coded = list(map(known.__getitem__, slices))
         sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
         ends = np.concatenate(([0], np.cumsum(sizes)))
         every = np.frombuffer(b"".join(coded), dtype="<u4")
         at = np.searchsorted(cuts, begins)  # pre-tokens before each text
-        if len(self.new) > CACHED_TOKENS:
-            self.old, self.new = self.new, {}
         return [(every[ends[i] : ends[j]], ends[i : j + 1] - ends[i]) for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -255,7 +252,7 @@ class Vocabulary:
 
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
-    """One vocabulary per worker and rank file, kept across tasks."""
+    """One vocabulary per worker and rank file, kept across tasks; merged pre-tokens are not."""
     return Vocabulary(path)
 
 
@@ -277,10 +274,11 @@ def encode_table(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_c
         return pa.ListArray.from_arrays(ends, np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
         for batch in batches:
             at = 0
-            for group in by_size(batch.column(1).to_pylist(), BATCH_CHARS):
-                coded = vocabulary(rank_file).encode(group)
+            for group in by_size(t.as_py() for t in batch.column(1)):
+                coded = vocabulary(rank_file).encode(group, known)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), lists([c[0] for c in coded]), lists([c[1] for c in coded])], ["id", "ids", "offsets"])
                 at += len(group)
 
@@ -306,12 +304,13 @@ def round_trip(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bytes] = {}
         for batch in batches:
             vocab = vocabulary(rank_file)
             decimal = _decimal(len(vocab.offsets) - 1)
             counts, of_ids, of_text = [], [], []
-            for group in by_size(batch.column(1).to_pylist(), BATCH_CHARS):
-                for ids, _ in vocab.encode(group):
+            for group in by_size(t.as_py() for t in batch.column(1)):
+                for ids, _ in vocab.encode(group, known):
                     counts.append(len(ids))
                     of_ids.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                     of_text.append(hashlib.sha256(vocab.decode(ids)).hexdigest())

@@ -24,8 +24,9 @@ PROFILE = 400
 MAX_LANGUAGES = 2000
 UNDETERMINED = "und"
 #: Code points handled at a time; a longer text is counted in slices that overlap by two.
-SLICE = 1 << 20
-FLUSH = 4_000_000
+SLICE = 1 << 17
+#: Distinct n-grams a task holds before it hands its counts on.
+FLUSH = 1_000_000
 
 
 def letters(text: str) -> np.ndarray:
@@ -33,12 +34,12 @@ def letters(text: str) -> np.ndarray:
     cps = decode(text.lower())
     kind = classes()[cps]
     keep = (kind == LETTER) | (kind == MARK)
-    line = np.where(keep, cps, 32).astype(np.int64)
+    line = np.where(keep, cps, np.uint32(32))
     starts = keep.copy()
     starts[1:] |= keep[:-1]  # a blank stays if a letter stands before it
     if len(starts):
         starts[0] = keep[0]
-    blank = np.full(1, 32, dtype=np.int64)
+    blank = np.full(1, 32, dtype=np.uint32)
     return np.concatenate((blank, line[starts], blank[: 0 if len(keep) and not keep[-1] and starts[-1] else 1]))
 
 
@@ -67,7 +68,7 @@ def count(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a line, ascending, with their counts."""
     total = None
     for at in range(0, max(len(line) - 2, 1), SLICE):
-        part = line[at : at + SLICE + 2]
+        part = line[at : at + SLICE + 2].astype(np.int64)
         codes = grams(part)
         if at:  # the two overlapping elements and their pair were counted with the slice before
             codes = np.concatenate((part[2:][part[2:] != 32], part[1:-1] << 21 | part[2:], part[:-2] << 42 | part[1:-1] << 21 | part[2:]))

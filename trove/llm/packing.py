@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.llm.bpe_cache import by_size, id_encoder, rank_encoding
+from trove.llm.vocabularies import ids, rank_encoding
 
 CAPACITY = 2048
 END_ID = 1
@@ -30,7 +30,8 @@ SENTENCE_CUT, HARD_CUT = 2, 24
 #: Every so many tokens a cut inside a sentence is allowed.
 GRID = 64
 HORIZON, UNFIXED = 256, 8
-BATCH_CHARS = 1 << 20
+#: Pieces handed back at a time.
+BATCH_PIECES = 1000
 #: Sequence ids: the partition above, its running number below.
 LOCAL_BITS = 40
 
@@ -144,39 +145,36 @@ def pack(docs: DataFrame, json_file: str, rank_file: str, id_col: str = "doc_id"
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     A document is its ids and ``end_id``; a null or empty text is that id alone.  Each id of a document lies in one
-    piece; pieces and sequences follow the order of the document ids (equal ids: of the texts).  Long texts are cut as
-    often as needed.  Repeated rows are packed as often as they stand; other columns are ignored; no rows give none.
+    piece; pieces and sequences follow the order of the document ids, and of a hash of the texts where many rows share an
+    id (or have none).  Long texts are cut as often as needed.  Repeated rows are packed as often as they stand; other columns are ignored; no rows give none.
     """
     field = docs.schema[id_col]
     kind = field.dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def batch_of(pieces: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
-        key, start, length, ids, tokens, sequence, offset = zip(*pieces, strict=True)
-        crc = [zlib.crc32(a.astype("<u4", copy=False).tobytes()) for a in ids]
+        key, start, length, parts, tokens, sequence, offset = zip(*pieces, strict=True)
+        crc = [zlib.crc32(a.astype("<u4", copy=False).tobytes()) for a in parts]
         columns = [pa.array(key, id_type), *[pa.array(c, pa.int64()) for c in (start, length, crc, tokens, sequence, offset)]]
         if with_ids:
             ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(ends, np.concatenate(ids).astype(np.int32)))
+            columns.append(pa.ListArray.from_arrays(ends, np.concatenate(parts).astype(np.int32)))
         return pa.RecordBatch.from_arrays(columns, names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(capacity, sentence_ends(rank_file), TaskContext.get().partitionId() << LOCAL_BITS)
-        encoder, tail, id_type = id_encoder(json_file, rank_file), np.array([end_id], dtype=np.uint32).tobytes(), None
+        tail, id_type = np.array([end_id], dtype="<u4"), None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            for group in by_size(texts, BATCH_CHARS):
-                for raw in encoder.encode(group):
-                    packer.add(keys[at], np.frombuffer(raw + tail, dtype="<u4"))
-                    at += 1
-                if packer.out:
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                packer.add(key.as_py(), np.concatenate((ids(text.as_py(), json_file, rank_file), tail)))
+                if len(packer.out) >= BATCH_PIECES:
                     yield batch_of(packer.take(), id_type)
         packer.fix(last=True)
         if packer.out:
             yield batch_of(packer.take(), id_type)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    tie = F.xxhash64(text_col).alias("tie")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tie).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").drop("tie")
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id_col)

@@ -5,7 +5,8 @@ Every text gives a vector of transformed statistics.  For each language and sour
 its squared Mahalanobis distance exceeds a cutoff.  One concentration step is one grouped aggregation: distances fall
 into narrow logarithmic bins, each bin carries count, sums and products (pre-aggregated before the shuffle, so a hot
 source moves as few rows as a small one), and a running total over the bins of a group picks the half-sample, the bin on its
-edge counting in part.  Small groups are pooled by language, and then over all rows.
+edge counting in part.  Steps go on until no group's determinant moves.  Small groups are pooled by language, and then
+over all rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trove.plans.scratch import materialise
+from trove.plans.scratch import discard, materialise
 
 SPACES = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -29,15 +30,14 @@ SUPPORT = 0.5
 #: SUPPORT / P(chi2_6 <= q) with q the SUPPORT quantile of chi2_4.
 CONSISTENCY = 2.1091
 MIN_GROUP = 60
-STEPS = 4
+#: Steps end when no log determinant moves by more than this; they settle well before the bound on their number.
+SETTLED, MOST_STEPS = 0.005, 20
 BINS_PER_OCTAVE = 8
 SALTS = 16
 MIN_WORDS = 50
 P = len(STATS)
 
 
-
-
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long) to every row.
 
@@ -150,7 +150,7 @@ def _starts(points: DataFrame) -> DataFrame:
     """Three fits a group: medians with quartile spreads, the floors around the medians, classical mean and covariance."""
     q = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{i}") for i, x in enumerate(STATS)]
     base = points.groupBy("grp").agg(*q, *_moments())
-    classical = _from_moments(base, 1.0).select("grp", F.lit(0).alias("start"), *FIT_COLUMNS)
+    classical = _from_moments(base, 1.0).select("grp", F.lit(0).alias("start"), "logdet", *FIT_COLUMNS)
     found = classical
     for start in (1, 2):
         out = base
@@ -159,7 +159,7 @@ def _starts(points: DataFrame) -> DataFrame:
             for j in range(i + 1):
                 spread = (F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349 if start == 1 else F.lit(0.0)
                 out = out.withColumn(f"c_{i}{j}", spread * spread + FLOORS[i] ** 2 if i == j else F.lit(0.0))
-        found = found.unionByName(with_factor(out).select("grp", F.lit(start).alias("start"), *FIT_COLUMNS))
+        found = found.unionByName(with_factor(out).select("grp", F.lit(start).alias("start"), "logdet", *FIT_COLUMNS))
     return found
 
 
@@ -191,8 +191,8 @@ def group_of(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     pairs = materialise(stats.groupBy("lang", "source").agg(F.count_if("usable").alias("n")), "quality-groups")
     by_lang = pairs.groupBy(F.col("lang").alias("of_lang")).agg(F.sum("n").alias("in_lang"), F.min("n").alias("least"))
     least_lang = by_lang.agg(F.min("in_lang")).first()[0]
-    own = F.concat_ws("\x1f", F.lit("ls"), F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
-    pooled = F.concat_ws("\x1f", F.lit("l"), F.coalesce("lang", F.lit("\x00")))
+    # as JSON, in which a null is left out, so that no two pairs share a name
+    own, pooled = F.to_json(F.struct("lang", "source")), F.concat(F.lit("lang "), F.to_json(F.struct("lang")))
     counts = pairs.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang"))).withColumn("least_lang", F.lit(least_lang).cast("long"))
     grp = F.when(F.col("n") >= min_group, own).when(F.col("in_lang") >= min_group, pooled).otherwise(F.lit("all"))
     feeds = F.array_compact(F.array(F.when(F.col("n") >= min_group, own), F.when((F.col("least") < min_group) & (F.col("in_lang") >= min_group), pooled), F.when(F.col("least_lang") < min_group, F.lit("all"))))
@@ -220,9 +220,15 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("salt") == F.col("g_salt"))
     points = materialise(stats.where("usable").join(g, on).select(F.explode("feeds").alias("grp"), "salt", *STATS), "quality-points")
     fits = materialise(_starts(points), "quality-fits")
-    for _ in range(STEPS):
-        stepped = _concentrate(points, fits)
-        fits = materialise(stepped.select("grp", "start", "logdet", "n", *FIT_COLUMNS), "quality-fits")
+    for _ in range(MOST_STEPS):
+        before = fits
+        fits = materialise(_concentrate(points, before).select("grp", "start", "logdet", "n", *FIT_COLUMNS), "quality-fits")
+        earlier = before.select("grp", "start", F.col("logdet").alias("earlier"))
+        moved = fits.join(earlier, ["grp", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("earlier")))).first()[0]
+        discard(before)
+        if moved is None or moved <= SETTLED:
+            break
+    discard(points)
     best = fits.groupBy("grp").agg(F.min(F.struct("logdet", "start", "n", *FIT_COLUMNS)).alias("b")).select("grp", "b.*")
     enough = best.where(F.col("n") >= MIN_GROUP * SUPPORT - 0.25).drop("logdet", "start", "n")
     rows = stats.join(g.drop("feeds").join(enough, "grp", "left"), on, "left")

@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.llm.bpe_cache import by_size, count_encoder, pieces
+from trove.llm.vocabularies import by_size, count, pieces
 
-#: Characters encoded at a time; a longer text is cut at safe boundaries into pieces of this size.
-BATCH_CHARS = 1 << 20
-PIECE_CHARS = 1 << 16
 LIMIT = 1024
 
 
-def lengths(texts: list[str | None], path: str) -> list[int]:
+def lengths(texts: Iterable[str | None], path: str) -> np.ndarray:
     """Tokens of each text (null: empty); the encoder sees batches of pieces of about equal size."""
-    owner, parts = [], []
-    for i, t in enumerate(texts):
-        for p in pieces(t or "", PIECE_CHARS):
-            owner.append(i)
-            parts.append(p)
-    counts = (n for group in by_size(parts, BATCH_CHARS) for n in count_encoder(path).encode(group))
-    out = [0] * len(texts)
-    for i, n in zip(owner, counts, strict=True):
-        out[i] += n
-    return out
+    owner: list[int] = []
+
+    def parts() -> Iterator[str]:
+        for i, t in enumerate(texts):
+            for p in pieces(t or ""):
+                owner.append(i)
+                yield p
+
+    counts = [n for group in by_size(parts()) for n in count(group, path)]
+    return np.bincount(owner, weights=counts, minlength=0).astype(np.int64) if owner else np.zeros(0, np.int64)
 
 
 def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -42,7 +40,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = pa.array(lengths(batch.column(2).to_pylist(), tokenizer_file), pa.int64())
+            counts = pa.array(lengths((t.as_py() for t in batch.column(2)), tokenizer_file))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))

@@ -19,20 +19,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trove.llm.bpe_cache import by_size, id_encoder
-from trove.plans.scratch import materialise, scratch_path
+from trove.llm.vocabularies import ids as encode
+from trove.llm.vocabularies import width
+from trove.plans.scratch import discard, materialise, scratch_path
 
 STRIDE = 2048
 END_ID = 50256
-#: Fills the last sequence of a block; no id of a vocabulary below 65,535.
-FILL = 65535
 SHARD_ROWS = 2048
 ROUNDS = 6
 #: Compression of a sequence on its way to its shard.
 EXCHANGE_LEVEL = 6
 #: Partitions that write shards at most; each then writes a run of neighbouring shards.
 MOST_WRITERS = 16_384
-BATCH_CHARS = 1 << 20
+
+
+def id_type(size: int) -> np.dtype:
+    """Little-endian ids of 2 or 4 bytes; the largest number fills the last sequence of a block and is no id."""
+    return np.dtype(f"<u{size}")
+
+
+def fill(size: int) -> int:
+    return 256**size - 1
 
 
 def _round(half: np.ndarray, key: int, number: int, mask: np.uint64) -> np.ndarray:
@@ -64,12 +71,14 @@ def permute(numbers: np.ndarray, n: int, key: int, inverse: bool = False) -> np.
 def sequences(docs: DataFrame, json_file: str, rank_file: str, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE) -> DataFrame:
     """(block, place, n_tokens, doc_ids, ids): all documents of each block end to end, each closed by ``END_ID``.
 
-    ids is ``stride`` little-endian unsigned 16-bit numbers.  Null texts are empty; null ids stand as null in doc_ids.
+    ids is ``stride`` little-endian unsigned numbers, of two bytes each if the vocabulary allows, else four.  Null texts are
+    empty; null ids stand as null in doc_ids.
     """
+    size_of = width(json_file, END_ID)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, place = TaskContext.get().partitionId(), 0
-        encoder, tail = id_encoder(json_file, rank_file), np.array([END_ID], dtype="<u4").tobytes()
+        tail = np.array([END_ID], dtype="<u4")
         held: list[tuple[object, np.ndarray]] = []
         size = 0
 
@@ -83,7 +92,7 @@ def sequences(docs: DataFrame, json_file: str, rank_file: str, id_col: str = "do
             if not rows:
                 return None
             used = min(rows * stride, size)
-            grid = np.full(rows * stride, FILL, dtype="<u2")
+            grid = np.full(rows * stride, fill(size_of), dtype=id_type(size_of))
             grid[:used] = ids[:used]
             first = np.searchsorted(bounds, np.arange(rows) * stride, side="right") - 1
             final = np.searchsorted(bounds, np.minimum(np.arange(1, rows + 1) * stride, size) - 1, side="right") - 1
@@ -100,13 +109,9 @@ def sequences(docs: DataFrame, json_file: str, rank_file: str, id_col: str = "do
             return out
 
         for batch in batches:
-            keys, at = batch.column(0).to_pylist(), 0
-            for group in by_size(batch.column(1).to_pylist(), BATCH_CHARS):
-                for raw in encoder.encode(group):
-                    ids = np.frombuffer(raw + tail, dtype="<u4")
-                    held.append((keys[at], ids))
-                    size += len(ids)
-                    at += 1
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                held.append((key.as_py(), np.concatenate((encode(text.as_py(), json_file, rank_file), tail))))
+                size += len(held[-1][1])
                 if size >= 64 * stride and (rows := cut(last=False)) is not None:
                     yield rows
         if (rows := cut(last=True)) is not None:
@@ -183,13 +188,14 @@ def write_shards(slotted: DataFrame, n: int, folder: str, shard_rows: int = SHAR
     return materialise(ordered.mapInArrow(work, "shard long, path string, first_slot long, rows long, crc32 long"), "shards")
 
 
-def read_shards(manifest: DataFrame, folder: str, n: int, key: int, from_slot: int = 0, stride: int = STRIDE, with_ids: bool = False) -> DataFrame:
+def read_shards(manifest: DataFrame, folder: str, n: int, key: int, from_slot: int = 0, stride: int = STRIDE, with_ids: bool = False, size_of: int = 2) -> DataFrame:
     """Rows from a slot on: slot, sequence, shard, place, n_tokens, ids_crc32 (and ids); each shard is read sequentially.
 
-    A resumed read starts at the byte of its first slot; a shard that is read whole must have the manifest's checksum.
+    size_of: bytes of an id.  A resumed read starts at the byte of its first slot; a shard that is read whole must have the
+    manifest's checksum.
     """
     names = ["slot", "sequence", "shard", "place", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    size = stride * 2
+    size = stride * size_of
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -207,9 +213,9 @@ def read_shards(manifest: DataFrame, folder: str, n: int, key: int, from_slot: i
                         if len(data) != take * size:
                             raise ValueError(f"{path} ends early")
                         seen = zlib.crc32(data, seen)
-                        grid = np.frombuffer(data, dtype="<u2").reshape(take, stride)
+                        grid = np.frombuffer(data, dtype=id_type(size_of)).reshape(take, stride)
                         slots = np.arange(first + at, first + at + take)
-                        columns = [pa.array(slots), pa.array(permute(slots, n, key, inverse=True)), pa.array(np.full(take, shard)), pa.array(np.arange(at, at + take)), pa.array((grid != FILL).sum(axis=1)), pa.array([zlib.crc32(data[i * size : (i + 1) * size]) for i in range(take)], pa.int64())]
+                        columns = [pa.array(slots), pa.array(permute(slots, n, key, inverse=True)), pa.array(np.full(take, shard)), pa.array(np.arange(at, at + take)), pa.array((grid != fill(size_of)).sum(axis=1)), pa.array([zlib.crc32(data[i * size : (i + 1) * size]) for i in range(take)], pa.int64())]
                         if with_ids:
                             columns.append(pa.array([r.tobytes() for r in grid], pa.binary()))
                         yield pa.RecordBatch.from_arrays(columns, names)
@@ -232,6 +238,8 @@ def training_order(docs: DataFrame, json_file: str, rank_file: str, key: int = 1
     cut = materialise(sequences(docs, json_file, rank_file, stride=stride), "sequences")
     rows, n = numbered(cut)
     manifest = write_shards(with_slots(rows, n, key, shard_rows), n, folder, shard_rows)
-    back = read_shards(manifest, folder, n, key, stride=stride)
+    members = materialise(rows.select("sequence", "doc_ids"), "sequence-docs")
+    discard(cut)
+    back = read_shards(manifest, folder, n, key, stride=stride, size_of=width(json_file, END_ID))
     # the planner takes what is read back for as small as the manifest; both sides grow with the input and are merged
-    return back.join(numbered(cut.drop("ids"))[0].select("sequence", "doc_ids").hint("merge"), "sequence")
+    return back.join(members.hint("merge"), "sequence")

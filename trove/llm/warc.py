@@ -1,6 +1,6 @@
 """WARC archives: one gzip member per record, written by tasks to a shared folder and read back sequentially.
 
-Each task writes one archive through the file system that the folder's URI names, under a temporary name that becomes
+Each task writes its archives, of bounded size, through the file system that the folder's URI names, under a temporary name that becomes
 final by a rename, so a repeated or speculative attempt leaves whole files only.  The reader inflates member after member
 incrementally, frames each record by its content length, and verifies block and payload digests.
 """
@@ -23,8 +23,8 @@ from trove.plans.scratch import materialise, scratch_path
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 1 << 16
-#: Largest header of a record.
-MAX_HEADER = 1 << 20
+#: An archive is closed and the next begun when it has reached this size.
+ARCHIVE_BYTES = 1 << 30
 ID_PREFIX = "urn:page:"
 
 
@@ -93,10 +93,11 @@ def _members(stream) -> Iterator[tuple[int, Iterator[bytes]]]:
 def read_records(stream) -> Iterator[dict]:
     """Header fields, block and member offset of every record of an archive, verified."""
     for offset, inflated in _members(stream):
-        buffer = bytearray()
-        while (end := buffer.find(b"\r\n\r\n")) < 0:
-            if len(buffer) > MAX_HEADER or (piece := next(inflated, None)) is None:
+        buffer, seen = bytearray(), 0
+        while (end := buffer.find(b"\r\n\r\n", seen)) < 0:
+            if (piece := next(inflated, None)) is None:
                 raise Damaged(f"no header in the member at {offset}")
+            seen = max(0, len(buffer) - 3)
             buffer += piece
         lines = buffer[:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/1."):
@@ -119,8 +120,8 @@ def _page(urn: str | None) -> int | None:
     return int(value) if value else None
 
 
-def parse(item: dict) -> dict:
-    """Page columns of a record; a response's payload digest is verified."""
+def parse(item: dict, payloads: bool = True) -> dict:
+    """Page columns of a record, its payload only if asked for; a response's payload digest is verified."""
     fields, block = item["fields"], item["block"]
     head, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(v) for k, _, v in (x.partition(b": ") for x in head.split(b"\r\n")) if k.lower() == b"content-length")
@@ -130,7 +131,7 @@ def parse(item: dict) -> dict:
         raise Damaged(f"payload at {item['offset']}")
     return {
         "page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest,
-        "record_type": fields["warc-type"], "refers_to": _page(fields.get("warc-refers-to")), "payload": None if revisit else payload,
+        "record_type": fields["warc-type"], "refers_to": _page(fields.get("warc-refers-to")), "payload": payload if payloads and not revisit else None,
     }
 
 
@@ -160,20 +161,28 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         context = TaskContext.get()
         files, place = FileSystem.from_uri(folder)
         files.create_dir(place, recursive=True)
-        path = f"{place}/part-{context.partitionId():05d}.warc.gz"
-        draft = f"{place}/.{uuid.uuid4().hex}"
-        records = size = 0
-        with files.open_output_stream(draft, compression=None) as out:
-            for batch in batches:
-                for page_id, url, html, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    data = record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to)
-                    out.write(data)
-                    records, size = records + 1, size + len(data)
-        if records:
-            files.move(draft, path)
-            yield pa.RecordBatch.from_pydict({"path": [path.removeprefix(place)], "records": [records], "bytes": [size]})
-        else:
-            files.delete_file(draft)
+        out, draft, number, records, size = None, "", 0, 0, 0
+
+        def close() -> pa.RecordBatch:
+            out.close()
+            path = f"/part-{context.partitionId():05d}-{number:05d}.warc.gz"
+            files.move(draft, place + path)
+            return pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]})
+
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                page_id, url, html, refers_to = [v.as_py() for v in row]
+                if out is None:
+                    draft = f"{place}/.{uuid.uuid4().hex}"
+                    out, records, size = files.open_output_stream(draft, compression=None), 0, 0
+                data = record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to)
+                out.write(data)
+                records, size = records + 1, size + len(data)
+                if size >= ARCHIVE_BYTES:
+                    yield close()
+                    out, number = None, number + 1
+        if out is not None:
+            yield close()
 
     manifest = rows.select("page_id", "url", "html", "refers_to").mapInArrow(work, "path string, records long, bytes long")
     return materialise(manifest, "warc-manifest")
@@ -199,7 +208,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
                 held, seen = [], 0
                 with files.open_input_stream(place + path, compression=None) as stream:
                     for item in read_records(stream):
-                        held.append(parse(item))
+                        held.append(parse(item, payloads))
                         seen += 1
                         if len(held) == (100 if payloads else 5000):
                             yield flush(held)
