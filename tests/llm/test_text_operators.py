@@ -77,7 +77,7 @@ def test_distances_match_a_plain_mcd_and_reject_the_odd_ones(spark):
     x = np.stack([np.log(s[:, 1] / s[:, 0]), np.log1p(100 * s[:, 2] / s[:, 0]), np.arcsin(np.sqrt(s[:, 3] / lines)), np.arcsin(np.sqrt(s[:, 4] / s[:, 0]))], 1)
     want = true_mcd(x)[1]
     found = np.array([got[i].d2 for i in range(len(s))])
-    assert np.allclose(found, want, rtol=0.1, atol=0.1)  # bins of an eighth of an octave, against whole sorted half-samples
+    assert np.allclose(found, want, rtol=0.25, atol=0.25)  # binned half-samples and three starts, against sorted ones and sixty starts
     assert (want[:150] <= CUTOFF).all() and (want[150:] > CUTOFF).all()
 
 

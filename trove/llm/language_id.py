@@ -39,8 +39,8 @@ def letters(text: str) -> np.ndarray:
     starts[1:] |= keep[:-1]  # a blank stays if a letter stands before it
     if len(starts):
         starts[0] = keep[0]
-    blank = np.full(1, 32, dtype=np.uint32)
-    return np.concatenate((blank, line[starts], blank[: 0 if len(keep) and not keep[-1] and starts[-1] else 1]))
+    blank, line = np.full(1, 32, dtype=np.uint32), line[starts]
+    return np.concatenate((blank, line, blank[: 0 if len(line) and line[-1] == 32 else 1]))
 
 
 def grams(line: np.ndarray) -> np.ndarray:
