@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda t, v: t + v))
 
 
+def of_dimension(a: Column, n: int) -> Column:
+    """The array, or an error if it does not hold ``n`` numbers."""
+    return F.when(F.size(a) == n, a).otherwise(F.raise_error(F.concat(F.lit(f"expected {n} numbers, got "), F.size(a).cast("string"))))
+
+
 def fold48(data: Column, width: int = 48) -> Column:
     """Fold bytes into ``width`` wrapping signed sums: place i adds to bucket i mod width."""
     digits = F.hex(data)
@@ -52,3 +59,9 @@ def nibbles(tile: Column) -> Column:
     digits = F.hex(tile)
     pairs = F.transform(F.sequence(F.lit(1), F.octet_length(tile)), lambda i: F.array(F.substring(digits, i * 2, F.lit(1)), F.substring(digits, i * 2 - 1, F.lit(1))))
     return F.transform(F.flatten(pairs), lambda d: F.pmod(F.conv(d, 16, 10).cast("int") + 8, F.lit(16)) - 8)
+
+
+def nibble_product(tile: Column, weight: Callable[[Column], Column], scale: float) -> Column:
+    """scale * sum of weight(i) * q_i over the signed nibbles q of one row of a matrix."""
+    terms = F.transform(nibbles(tile), lambda q, i: q * weight(i))
+    return F.aggregate(terms, F.lit(0).cast("long"), lambda t, x: t + x) * F.lit(scale)

@@ -117,21 +117,20 @@ def best_match(vectors: DataFrame, query: Column, vector: str = "embedding", id_
 def route(queries: DataFrame, seats: DataFrame, by: str = "dot") -> DataFrame:
     """The best seat of every query (query_id, vector) among few seats (seat_id, class_vector).
 
-    Seats are a bounded routing table and are broadcast after a check of their number; the winner is picked by one aggregate, not by sorting all pairs.
+    Seats are a bounded routing table and are broadcast after a check of their number.
     """
     many = seats.limit(4097).count()
     if many > 4096:
         raise ValueError("a routing table holds 4096 seats at most")
-    table = seats.agg(F.collect_list(F.struct("seat_id", "class_vector")).alias("seats"))
-    pairs = queries.withColumn("_one", F.lit(1)).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one").select("query_id", "vector", F.explode("seats").alias("s"))
-    scored_ = pairs.select("query_id", F.col("s.seat_id").alias("seat_id"), measure_of(by).alias("measure"))
-    best = scored_.groupBy("query_id").agg(F.max(F.struct("measure", (-F.col("seat_id")).alias("minus"))).alias("b"))
-    return best.select("query_id", (-F.col("b.minus")).alias("seat_id"), (F.col("b.measure") if by == "dot" else -F.col("b.measure")).alias("measure"))
+    table = seats.agg(F.collect_list(F.struct("seat_id", "class_vector")).alias("seats")).withColumn("_one", F.lit(1))
+    held = queries.withColumn("_one", F.lit(1)).join(F.broadcast(table), "_one")
+    # the best seat of a row is found inside the row: no pairs are made
+    best = F.array_max(F.transform("seats", lambda s: F.struct(measure_of(by, F.col("vector"), s["class_vector"]).alias("measure"), (-s["seat_id"]).alias("minus"))))
+    return held.select("query_id", best.alias("b")).select("query_id", (-F.col("b.minus")).alias("seat_id"), (F.col("b.measure") if by == "dot" else -F.col("b.measure")).alias("measure"))
 
 
-def measure_of(by: str) -> Column:
+def measure_of(by: str, a: Column, b: Column) -> Column:
     """Dot product, or negative cosine distance, of a query and a seat."""
-    a, b = F.col("vector"), F.col("s.class_vector")
     return dot(a, b) if by == "dot" else -cosine_distance(a, b)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATES = ["claimed", "committed", "released", "unreserved"]
@@ -33,9 +33,8 @@ def gap_watermark(slots: DataFrame, total: str = "slot_id") -> DataFrame:
     done = slots.where(F.col("state").isin("committed", "released")).select("slot_id")
     # the first number whose successor is missing: a self-join by equality, not a window over all slots
     after = done.join(done.select((F.col("slot_id") - 1).alias("slot_id")), "slot_id", "left_anti")
-    first = done.agg(F.min("slot_id").alias("low"))
-    low = first.first()[0]
-    return after.agg((F.when(F.lit(low == 0), F.min("slot_id") + 1).otherwise(0)).cast("long").alias("watermark"))
+    both = done.agg(F.min("slot_id").alias("low"), F.lit(None).cast("long").alias("last")).union(after.agg(F.lit(None).cast("long"), F.min("slot_id")))
+    return both.agg(F.when(F.max("low") == 0, F.max("last") + 1).otherwise(0).cast("long").alias("watermark"))
 
 
 def project(log: DataFrame) -> DataFrame:
@@ -75,3 +74,8 @@ def ring_latest(rows: DataFrame, seq: str) -> DataFrame:
     """The last row of a ring."""
     best = rows.agg(F.max_by(F.struct(*rows.columns), seq).alias("r"))
     return best.select("r.*")
+
+
+def push_outcome(head: Column, least_reader: Column, capacity: int) -> Column:
+    """accepted, or full where the slowest reader would lose a row."""
+    return F.when(head >= least_reader + capacity, "full").otherwise("accepted")

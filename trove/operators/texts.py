@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Kinds of lexical tokens, in order of their codes.
 KINDS = ["identifier", "number", "string", "comment", "space", "punctuation"]
+#: Tokens handed back at a time.
+BATCH_TOKENS = 20_000
 _TOKEN = re.compile(r"(?P<identifier>[A-Za-z_]\w*)|(?P<number>\d[\w.]*)|(?P<string>\"(?:\\.|[^\"\\])*\"?)|(?P<comment>//[^\n]*)|(?P<space>\s+)|(?P<punctuation>.)", re.DOTALL)
 
 
@@ -68,11 +70,21 @@ def tokenise(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = [(m.start(), m.lastgroup, m.group()) for m in _TOKEN.finditer(text or "")]
-                if found:
-                    at, kind, lexeme = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(found), batch.schema.field(0).type), pa.array(at, pa.int64()), pa.array(kind), pa.array(lexeme)], ["id", "place", "kind", "lexeme"])
+            id_type, found = batch.schema.field(0).type, []
+
+            def out() -> pa.RecordBatch:
+                keys, at, kind, lexeme = zip(*found, strict=True)
+                return pa.RecordBatch.from_arrays([pa.array(keys, id_type), pa.array(at, pa.int64()), pa.array(kind), pa.array(lexeme)], ["id", "place", "kind", "lexeme"])
+
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
+                key = key.as_py()
+                for m in _TOKEN.finditer(text.as_py() or ""):
+                    found.append((key, m.start(), m.lastgroup, m.group()))
+                    if len(found) == BATCH_TOKENS:
+                        yield out()
+                        found.clear()
+            if found:
+                yield out()
 
     return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind_of_id}, place long, kind string, lexeme string").withColumnRenamed("id", id_col)
 
@@ -87,3 +99,27 @@ def soundex_precision(names: DataFrame, group: str, name: str, wanted: str) -> D
     """(grp, hits, exact, precision) of a phonetic search for ``wanted`` in each group of names."""
     hits = names.where(F.soundex(name) == F.soundex(F.lit(wanted)))
     return hits.groupBy(F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.lower(name) == wanted.lower()).alias("exact")).withColumn("precision", F.round(F.col("exact") / F.col("hits"), 6))
+
+
+def token_header(kind: Column, lexeme: Column) -> Column:
+    """(opcode, subject, predicate) of a token: the code of its kind, its first sixteen bytes, and ``lex_token``."""
+    code = F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
+    return F.struct(code.alias("opcode"), F.substring(F.encode(lexeme, "UTF-8"), 1, 16).alias("subject"), F.lit("lex_token").alias("predicate"))
+
+
+def note_cell(notes: DataFrame, room: int = 952) -> DataFrame:
+    """Notes (title, body) as cells: a title that does not fit is refused, a body is cut to the rest; its true length stays."""
+    left = F.lit(room) - F.octet_length(F.encode("title", "UTF-8"))
+    body = F.encode("body", "UTF-8")
+    rest = [c for c in notes.columns if c not in ("title", "body")]
+    return notes.where(left >= 0).select(*rest, "title", F.substring(body, F.lit(1), left).alias("body"), F.octet_length(body).cast("long").alias("body_bytes"), (F.octet_length(body) > left).alias("truncated"))
+
+
+def id128(name: Column) -> Column:
+    """A 128-bit id of a name, in hex."""
+    return F.md5(F.encode(name, "UTF-8"))
+
+
+def hex_payload(data: Column, size: int) -> Column:
+    """The first ``size`` bytes as lower-case hex, filled up with zeros."""
+    return F.rpad(F.lower(F.hex(F.substring(data, 1, size))), 2 * size, "0")

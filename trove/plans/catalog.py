@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import trove.plans.graph_queries  # noqa: F401
 import trove.plans.record_queries  # noqa: F401
+import trove.plans.service_queries  # noqa: F401
 import trove.plans.sql_queries  # noqa: F401
 import trove.plans.stream_queries  # noqa: F401
 from trove.plans.registry import ORACLES, QUERIES, Query

@@ -107,14 +107,14 @@ def _(s, d):
     return O.synthetic(s).withColumn("spoke", O.spoke_of("subject_id")).groupBy("spoke").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("header_rows", "SELECT tag, count(*) AS n, max(tag * 4294967296 + range) AS last FROM (SELECT range, CASE WHEN range < 4000 THEN 1 WHEN range < 7000 THEN 2 ELSE 3 END::BIGINT AS tag FROM range(10000)) GROUP BY tag")
+@query("header_rows", "SELECT tag, count(*) AS n, max(tag * 4294967296 + range) AS last FROM (SELECT range, CASE WHEN range < 400000 THEN 1 WHEN range < 700000 THEN 2 ELSE 3 END::BIGINT AS tag FROM range(1000000)) GROUP BY tag")
 def _(s, d):
-    return O.header_rows(s, 10000).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.max("provenance").alias("last"))
+    return O.header_rows(s, 1_000_000).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.max("provenance").alias("last"))
 
 
-@query("insert_rows", RECORDS + "SELECT slot_id, opcode, subject_id, flags, epoch FROM records UNION ALL SELECT o_orderkey + 10000000, 4001, o_custkey, 0, 1 FROM orders WHERE o_orderkey % 100 = 0")
+@query("insert_rows", RECORDS + "SELECT slot_id, opcode, subject_id, flags, epoch FROM records UNION ALL SELECT o_orderkey + 10000000, 4001, o_custkey, 0, 1 FROM orders")
 def _(s, d):
-    new = table(s, d, "orders").where("o_orderkey % 100 = 0").select((F.col("o_orderkey") + 10_000_000).alias("slot_id"), F.lit(4001).cast("long").alias("opcode"), F.col("o_custkey").alias("subject_id"))
+    new = table(s, d, "orders").select((F.col("o_orderkey") + 10_000_000).alias("slot_id"), F.lit(4001).cast("long").alias("opcode"), F.col("o_custkey").alias("subject_id"))
     return O.insert_rows(records(s, d).select("slot_id", "opcode", "subject_id", "flags", "epoch"), new)
 
 
@@ -150,7 +150,7 @@ def _vector(s, d, k: int = 0) -> list[float]:
     return [float(x) for x in table(s, d, "embeddings").where(F.col("vec_id") == k).select("embedding").first()[0]]
 
 
-def _query(s, d, **more) -> R.Query:
+def recall_query(s, d, **more) -> R.Query:
     return R.Query(AT_US, F.array(*[F.lit(x) for x in _vector(s, d)]), **more)
 
 
@@ -162,38 +162,38 @@ def _r(df: DataFrame, *names: str) -> DataFrame:
 @query("ranked_recall", CAND + "SELECT key, access_count, hop, round(score, 6) AS score FROM scored WHERE hop <= 4 ORDER BY scored.score DESC, key LIMIT 10")
 def ranked_recall(s, d):
     """Flagship: the ten best candidates of a recall."""
-    return _r(R.top_k(candidates(s, d), _query(s, d), 10).select("key", "access_count", "hop", "score"), "score")
+    return _r(R.top_k(candidates(s, d), recall_query(s, d), 10).select("key", "access_count", "hop", "score"), "score")
 
 
 @query("rank_all", CAND + "SELECT key, round(score, 6) AS score FROM scored WHERE hop <= 4 AND class_key = 3")
 def _(s, d):
-    return _r(R.rank_all(candidates(s, d), _query(s, d, class_key=3)).select("key", "score"), "score")
+    return _r(R.rank_all(candidates(s, d), recall_query(s, d, class_key=3)).select("key", "score"), "score")
 
 
 @query("rank_input_order", CAND + "SELECT key, round(score, 6) AS score FROM scored WHERE hop <= 3 ORDER BY key LIMIT 20")
 def _(s, d):
-    return _r(R.rank_all(candidates(s, d), _query(s, d, max_hops=3), keep=20, input_order=True).select("key", "score"), "score")
+    return _r(R.rank_all(candidates(s, d), recall_query(s, d, max_hops=3), keep=20, input_order=True).select("key", "score"), "score")
 
 
 @query("top_k", CAND + "SELECT key, round(score, 6) AS score FROM scored WHERE hop <= 2 ORDER BY scored.score DESC, key LIMIT 4")
 def _(s, d):
-    return _r(R.top_k(candidates(s, d), _query(s, d, max_hops=2), 4).select("key", "score"), "score")
+    return _r(R.top_k(candidates(s, d), recall_query(s, d, max_hops=2), 4).select("key", "score"), "score")
 
 
 @query("top_k_by_class", CAND + "SELECT class_key, key, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY class_key ORDER BY scored.score DESC, key) AS place FROM scored WHERE hop <= 4) WHERE place <= 3")
 def _(s, d):
-    ranked = R.rank_within(R.scored(candidates(s, d), _query(s, d)).where("hop_ok"), "class_key", "score", "key", 3)
+    ranked = R.rank_within(R.scored(candidates(s, d), recall_query(s, d)).where("hop_ok"), "class_key", "score", "key", 3)
     return _r(ranked.select("class_key", "key", "score", F.col("place").cast("long").alias("place")), "score")
 
 
 @query("dispatch_stats", CAND + "SELECT count(*) AS scanned, count(*) FILTER (hop <= 4 AND class_key = 3) AS ranked, count(*) FILTER (hop > 4) AS vetoed_hop, count(*) FILTER (hop <= 4 AND class_key <> 3) AS vetoed_intent FROM scored")
 def _(s, d):
-    return R.dispatch_stats(candidates(s, d), _query(s, d, class_key=3))
+    return R.dispatch_stats(candidates(s, d), recall_query(s, d, class_key=3))
 
 
 @query("signals", CAND + "SELECT key, round(recency, 6) AS recency, round(frequency, 6) AS frequency, round(semantic, 6) AS semantic, structural FROM sig")
 def _(s, d):
-    out = R.scored(candidates(s, d), _query(s, d)).select("key", "recency", "frequency", "semantic", "structural")
+    out = R.scored(candidates(s, d), recall_query(s, d)).select("key", "recency", "frequency", "semantic", "structural")
     return _r(out, "recency", "frequency", "semantic")
 
 
@@ -226,10 +226,10 @@ def _(s, d):
     return _r(e.select("vec_id", V.dot(F.col("embedding"), q).alias("dot")), "dot")
 
 
-@query("cosine_f32", EMB + "SELECT vec_id, round(1 - list_inner_product(e, qe) / sqrt(list_inner_product(e, e) * list_inner_product(qe, qe)), 6) AS distance FROM v WHERE vec_id <> 0")
+@query("cosine_f32", EMB + "SELECT vec_id, abs(round(1 - list_inner_product(e, qe) / sqrt(list_inner_product(e, e) * list_inner_product(qe, qe)), 6)) AS distance FROM v")
 def _(s, d):
     e, q = _emb(s, d)
-    return _r(e.where("vec_id <> 0").select("vec_id", V.cosine_distance(F.col("embedding"), q).alias("distance")), "distance")
+    return e.select("vec_id", F.abs(F.round(V.cosine_distance(F.col("embedding"), q), 6)).alias("distance"))
 
 
 @query("l2_f32", EMB + "SELECT vec_id, round(list_distance(e, qe), 6) AS distance FROM v")
@@ -264,7 +264,7 @@ def _(s, d):
 
 @query("intent_gate", CAND + "SELECT key, CASE WHEN hop > 4 THEN 1 WHEN class_key <> 3 THEN 2 ELSE 0 END::BIGINT AS status, round(CASE WHEN hop <= 4 AND class_key = 3 THEN score ELSE 0 END, 6) AS gate_score, CASE WHEN hop <= 4 AND class_key = 3 THEN 1 ELSE 0 END::BIGINT AS verified FROM scored")
 def _(s, d):
-    out = R.intent_gate(R.scored(candidates(s, d), _query(s, d)), 3).select("key", "status", "gate_score", "verified")
+    out = R.intent_gate(R.scored(candidates(s, d), recall_query(s, d)), 3).select("key", "status", "gate_score", "verified")
     return _r(out, "gate_score")
 
 
@@ -286,9 +286,9 @@ def _(s, d):
     return table(s, d, "benchmark").select("item_id", V.fold48(F.encode("text", "UTF-8")).alias("folded"))
 
 
-@query("nibble_products", """WITH b AS (SELECT item_id, hex(substr(text, 1, 16)) AS h FROM benchmark),
+@query("nibble_products", """WITH b AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark),
 n AS (SELECT item_id, list_transform(range(0, length(h) // 2), lambda i: [instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1, instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1]) AS p FROM b)
 SELECT item_id, (0.5 * list_sum(list_transform(flatten(p), lambda d: (d + 8) % 16 - 8)))::DOUBLE AS y FROM n""")
 def _(s, d):
-    q = V.nibbles(F.encode(F.substring("text", 1, 16), "UTF-8"))
+    q = V.nibbles(F.encode("text", "UTF-8"))
     return table(s, d, "benchmark").select("item_id", (F.aggregate(q, F.lit(0), lambda t, x: t + x) * 0.5).alias("y"))

@@ -1,16 +1,15 @@
-"""Queries that run streams over the events, and the sealed record files."""
+"""Queries that run streams over the events, and the recovery scan over all of them."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
+from trove.operators import recovery as W
 from trove.operators import slots as S
 from trove.plans.graph_queries import LOG
 from trove.plans.registry import query
-from trove.plans.scratch import scratch_path
-from trove.plans.tables import table
-from trove.sources import sealed
+from trove.plans.scratch import materialise
+from trove.plans.service_queries import SEGMENTS, damaged
 from trove.streaming import flows
 
 
@@ -36,21 +35,8 @@ def _(s, d):
     return flows.lease_stream(e.select(F.concat(F.lit("f"), (F.col("user_id") % 20).cast("string")).alias("path"), F.col("event_id").alias("at"), F.col("event_type").alias("holder"), (F.col("event_id") + 100).alias("expires")))
 
 
-def _records(batches):
-    for rows in batches:
-        built = [sealed.build(int(o), f"user_{u}".encode(), t.encode(), b"", int(i % 2 + 1), int(i)) for i, u, t, o in zip(rows["event_id"], rows["user_id"], rows["event_type"], rows["opcode"], strict=True)]
-        out = sealed.seal_all(built)
-        for k, i in enumerate(rows["event_id"]):
-            if i % 16 == 7:  # damage one byte of the cell
-                out[k] = out[k][:5000] + bytes([out[k][5000] ^ 1]) + out[k][5001:]
-        yield pd.DataFrame({"record": out})
-
-
-@query("recover_scan", "SELECT CASE WHEN event_id % 16 <> 7 THEN 'healthy' WHEN event_id < 40 THEN 'corrupt' ELSE 'torn' END AS health, count(*) AS n, min(event_id) AS first_epoch FROM events WHERE event_id <= 55 GROUP BY 1")
+@query("recover_scan", SEGMENTS + "SELECT health, count(*) AS n, min(event_id) AS first_epoch FROM k GROUP BY 1")
 def _(s, d):
-    sealed.register(s)
-    folder = scratch_path(s, "sealed")
-    e = table(s, d, "events").where("event_id < 96").select("event_id", "user_id", "event_type", (F.col("user_id") + 1).alias("opcode"))
-    e.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").mapInPandas(_records, "record binary").write.format("sealed").mode("append").save(folder)
-    back = sealed.recover(s.read.format("sealed").load(folder), 40)
-    return back.groupBy("health").agg(F.count(F.lit(1)).alias("n"), F.min("epoch").alias("first_epoch"))
+    """Every event written as a stored row in range partitions, damaged, and recovered segment by segment."""
+    back = W.recover(materialise(damaged(s, d).repartitionByRange("event_id"), "scan"), "segment", "slot", 400)
+    return back.groupBy("health").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_epoch"))
