@@ -16,5 +16,5 @@ SMALL_BYTES = 24 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """A small input dealt evenly to all cores, since one file of one row group is one task; a large one as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
