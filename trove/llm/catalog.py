@@ -17,8 +17,7 @@ from trove.llm.token_counts import count_tokens
 from trove.llm.training_order import training_order
 from trove.llm.url_filters import filter_urls, rule_table
 from trove.llm.warc import archive_round_trip
-from trove.plans.tables import table
-
+from trove.plans.tables import spread, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -56,7 +55,7 @@ FROM parts p LEFT JOIN LATERAL (
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, by profiles of the documents that are not held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     profiles = collect_profiles(train_profiles(docs.where(~held_out(F.col("doc_id")))))
     found = identify(docs, profiles)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -64,22 +63,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and robust distance of every document."""
-    return robust_outliers(table(spark, sf_dir, "documents"))
+    return robust_outliers(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
-    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return count_tokens(spread(table(spark, sf_dir, "documents")), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
-    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return round_trip(spread(table(spark, sf_dir, "documents")), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +88,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
-    return archive_round_trip(table(spark, sf_dir, "pages"))
+    return archive_round_trip(spread(table(spark, sf_dir, "pages")))
 
 
 OP8_SQL = """
@@ -108,12 +107,12 @@ FROM bits
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as shuffled sequences in fixed-stride shards, read back."""
-    return training_order(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), key=20240101)
+    return training_order(spread(table(spark, sf_dir, "documents")), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken"), key=20240101)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
-    return compare_edits(table(spark, sf_dir, "documents"))
+    return compare_edits(spread(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
