@@ -116,13 +116,16 @@ def brute_classes(texts):
     every, plain = [], []
     ids = sorted(texts)
     split = {i: texts[i].split() for i in ids}
+    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in split.items()}
     for k, i in enumerate(ids):
         for j in ids[:k]:
             a, b = split[i], split[j]
+            shared = len(grams[i] & grams[j])
+            near = shared / max(1, len(grams[i]) + len(grams[j]) - shared)
             if a == b:
                 every.append((i, j))
                 plain.append((i, j))
-            elif min(len(a), len(b)) >= 5 and (near := jaccard(texts[i], texts[j])) > 0.03 and similarity(a, b) >= 0.8:
+            elif min(len(a), len(b)) >= 5 and near > 0.03 and similarity(a, b) >= 0.8:
                 every.append((i, j))
                 plain += [(i, j)] * (near >= 0.6)
     return classes_of(every, ids), classes_of(plain, ids)
