@@ -330,7 +330,7 @@ def _(s, d):
     return S.index_percentiles(table(s, d, "events"), "value", [("p50", 0.5), ("p99", 0.99)])
 
 
-@query("ring_read", "SELECT CASE WHEN 500 >= max(event_id) + 1 THEN 'empty' WHEN 500 < max(event_id) + 1 - 1024 THEN 'lagging' ELSE 'ok' END AS outcome, NULL::DOUBLE AS value FROM events")
+@query("ring_read", "SELECT CASE WHEN 500 >= max(event_id) + 1 THEN 'empty' WHEN 500 < max(event_id) + 1 - 1024 THEN 'lagging' ELSE 'ok' END AS outcome, CASE WHEN 500 <= max(event_id) AND 500 >= max(event_id) + 1 - 1024 THEN max(CASE WHEN event_id = 500 THEN value END) END AS value FROM events")
 def _(s, d):
     return S.ring_read(table(s, d, "events"), "event_id", 500, 1024)
 
