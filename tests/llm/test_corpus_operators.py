@@ -68,11 +68,6 @@ def test_url_edge_cases(spark):
 # ---- near duplicates
 
 
-def jaccard(a, b):
-    s = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b)]
-    return len(s[0] & s[1]) / max(1, len(s[0] | s[1]))
-
-
 def edited(words, rng, edits):
     w = list(words)
     for _ in range(edits):
