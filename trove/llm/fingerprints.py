@@ -36,8 +36,8 @@ def _anchor(h: Column, place: Column) -> Column:
 def with_anchors(rows: DataFrame, text_col: str, name: str = "anchors") -> DataFrame:
     """Add the anchors of a text (array of long, in text order); a text of one to four words has one, of all its words."""
     out = rows.withColumn("_w", words(F.col(text_col)))
-    runs = F.transform(F.slice("_w", F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("_w", i + 1)))
-    out = out.withColumn("_r", runs)
+    n_runs = F.greatest(F.size("_w") - 1, F.lit(0))
+    out = out.withColumn("_r", F.zip_with(F.slice("_w", F.lit(1), n_runs), F.slice("_w", F.lit(2), n_runs), lambda v, w: F.xxhash64(v, w)))
 
     def anchor(a: Column, i: Column) -> Column:
         b, c, d = F.get("_r", i + 1), F.get("_r", i + 2), F.get("_r", i + 3)
@@ -54,16 +54,19 @@ def as_text(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(_hash(x).bitwiseAND(F.lit(LOW))), 8, "0")), "")
 
 
+def with_firsts(rows: DataFrame, anchors: str, name: str) -> DataFrame:
+    """Add the first anchor of each hash, sorted by hash."""
+    first = lambda x, i: F.coalesce(_hash(F.get("_sorted", i - 1)) != _hash(x), F.lit(True))
+    return rows.withColumn("_sorted", F.sort_array(anchors)).withColumn(name, F.filter("_sorted", first)).drop("_sorted")
+
+
 def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Add the likeness (0 to 1) of two anchor columns: twice the matched anchors over the distinct ones of both.
+    """Add the likeness (0 to 1) of two columns of ``with_firsts``: twice the matched anchors over those of both.
 
-    Each hash stands for its first place.  A match counts if the match before or after it, in text order, lies at the same
-    shift between the texts, or if either text has one anchor only.  Two empty fingerprints have likeness 1.
+    A match counts if the match before or after it, in text order, lies at the same shift between the texts, or if either
+    text has one anchor only.  Two empty fingerprints have likeness 1.  Texts without a common hash are not merged.
     """
 
-    def first(sorted_: str):
-        return lambda x, i: F.coalesce(_hash(F.get(sorted_, i - 1)) != _hash(x), F.lit(True))
-
     def sided(side: int):
         return lambda x: _anchor(x, F.shiftleft(_place(x), 1).bitwiseOR(F.lit(side).cast("long")))
 
@@ -79,14 +82,14 @@ def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     def in_place(p: Column, i: Column) -> Column:
         return F.coalesce(shift(p) == shift(F.get("_pairs", i - 1)), F.lit(False)) | F.coalesce(shift(p) == shift(F.get("_pairs", i + 1)), F.lit(False))
 
-    out = rows.withColumn("_sa", F.sort_array(a)).withColumn("_sb", F.sort_array(b))
-    out = out.withColumn("_fa", F.filter("_sa", first("_sa"))).withColumn("_fb", F.filter("_sb", first("_sb")))
-    out = out.withColumn("_both", F.sort_array(F.concat(F.transform("_fa", sided(0)), F.transform("_fb", sided(1)))))
+    merged = F.sort_array(F.concat(F.transform(a, sided(0)), F.transform(b, sided(1))))
+    out = rows.withColumn("_meet", F.arrays_overlap(F.transform(a, _hash), F.transform(b, _hash)))
+    out = out.withColumn("_both", F.when(F.col("_meet"), merged).otherwise(F.array().cast("array<long>")))
     out = out.withColumn("_pairs", F.sort_array(F.filter(F.transform("_both", pair), lambda p: p.isNotNull())))
-    matched = F.when(F.least(F.size("_fa"), F.size("_fb")) == 1, F.size("_pairs")).otherwise(F.size(F.filter("_pairs", in_place)))
-    sizes = F.size("_fa") + F.size("_fb")
+    matched = F.when(F.least(F.size(a), F.size(b)) == 1, F.size("_pairs")).otherwise(F.size(F.filter("_pairs", in_place)))
+    sizes = F.size(a) + F.size(b)
     out = out.withColumn(name, F.when(sizes == 0, F.lit(1.0)).otherwise(matched * F.lit(2.0) / sizes))
-    return out.drop("_sa", "_sb", "_fa", "_fb", "_both", "_pairs")
+    return out.drop("_meet", "_both", "_pairs")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,18 +167,21 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("key", order_key(F.col("id"), F.col("text")))
-    # anchors are made after the shuffle, which moves the texts alone
-    pairs = with_next(with_anchors(in_pieces(rows, "key"), "text"), "key", ["text", "anchors"])
+    # anchors are made after the shuffle, which moves the texts alone; beside the text a row takes a string and one array
+    # through the sort
+    placed = with_anchors(in_pieces(rows, "key"), "text")
+    placed = with_firsts(placed.withColumn("fingerprint", as_text(F.col("anchors"))), "anchors", "firsts").drop("anchors")
+    pairs = with_next(placed, "key", ["text", "firsts"])
     size = F.length("text")
     quarter = F.floor(size / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - quarter), F.substring("next_text", F.lit(1), quarter))
-    pairs = with_anchors(pairs.withColumn("edited", edited), "edited", "edited_anchors")
-    pairs = with_likeness(with_likeness(pairs, "anchors", "edited_anchors", "near_edited"), "anchors", "next_anchors", "near_next")
+    pairs = with_firsts(with_anchors(pairs.withColumn("edited", edited), "edited", "edited_anchors"), "edited_anchors", "edited_firsts")
+    pairs = with_likeness(with_likeness(pairs, "firsts", "edited_firsts", "near_edited"), "firsts", "next_firsts", "near_next")
     return pairs.select(
         F.col("id").alias(id_col),
         size.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("anchors")).alias("fingerprint"),
+        "fingerprint",
         as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
