@@ -134,6 +134,16 @@ def test_profiles_match_a_counter(spark):
         assert [got[lang, pack(g)] for g in best] == list(range(1, 9))
 
 
+def test_profiles_do_not_depend_on_how_texts_are_dealt(spark):
+    texts = [("en", t) for t in ["ab", "cd", "12", "", "ab e", "--", "fg ab"]] * 5 + [("de", "3"), ("de", "4")]
+    df = spark.createDataFrame(texts, "lang string, text string")
+    found = [sorted(map(tuple, language_id.train_profiles(df.repartition(n)).collect())) for n in (1, 3, 16)]
+    assert found[0] == found[1] == found[2]
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    seen = {r[1] for r in found[0]}
+    assert code("b e") in seen and code("b c") not in seen and code("  ") not in seen and {r[0] for r in found[0]} == {"en"}
+
+
 def test_long_texts_count_like_short_ones(monkeypatch):
     line = language_id.letters(" ".join(mixed(400, 30)))
     whole = language_id.count(line)

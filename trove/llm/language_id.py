@@ -1,7 +1,8 @@
 """Language identification by rank-order profiles and out-of-place distance.
 
 Training counts letter n-grams (orders 1 to 3, words bounded by a blank) of all labelled training texts per language:
-every task folds its share into one count per language and n-gram, Spark sums those, and a window keeps the most
+every task folds its share into one count per language and n-gram (within texts, so that it does not matter how they are
+dealt), Spark sums those, and a window keeps the most
 frequent ``PROFILE`` n-grams of each language.  Only these few ranks reach the driver (languages x PROFILE rows).
 Prediction ranks a text's own n-grams the same way; the distance to a language is the sum of rank differences, an
 n-gram that the profile lacks counting PROFILE places.
@@ -43,20 +44,27 @@ def letters(text: str) -> np.ndarray:
     return np.concatenate((blank, line, blank[: 0 if len(line) and line[-1] == 32 else 1]))
 
 
-def grams(line: np.ndarray) -> np.ndarray:
-    """All n-grams of the line as one array of packed code points (21 bits each)."""
-    found = [line[line != 32]]
-    if len(line) > 1:
-        found.append(line[:-1] << 21 | line[1:])
+def grams(line: np.ndarray, seen: int = 0) -> np.ndarray:
+    """All n-grams of the line as one array of packed code points (21 bits each).
+
+    The first ``seen`` elements, and what they make among themselves, were counted before.  Two blanks in a row stand only
+    where one text ends and another begins; no n-gram spans them.
+    """
+    blank = line == 32
+    whole = ~(blank[:-1] & blank[1:])
+    pairs, at = line[:-1] << 21 | line[1:], max(seen - 1, 0)
+    found = [line[seen:][~blank[seen:]], pairs[at:][whole[at:]]]
     if len(line) > 2:
-        found.append(line[:-2] << 42 | line[1:-1] << 21 | line[2:])
+        found.append((pairs[:-1] << 21 | line[2:])[whole[:-1] & whole[1:]])
     return np.concatenate(found)
 
 
 def add(a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sum of two (sorted codes, counts) pairs."""
-    if a is None:
+    if a is None or not len(a[0]):
         return b
+    if not len(b[0]):
+        return a
     codes = np.concatenate((a[0], b[0]))
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], np.concatenate((a[1], b[1]))[order]
@@ -69,10 +77,7 @@ def count(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = None
     for at in range(0, max(len(line) - 2, 1), SLICE):
         part = line[at : at + SLICE + 2].astype(np.int64)
-        codes = grams(part)
-        if at:  # the two overlapping elements and their pair were counted with the slice before
-            codes = np.concatenate((part[2:][part[2:] != 32], part[1:-1] << 21 | part[2:], part[:-2] << 42 | part[1:-1] << 21 | part[2:]))
-        codes = np.sort(codes)
+        codes = np.sort(grams(part, 2 if at else 0))
         first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
         total = add(total, (codes[first], np.diff(np.append(first, len(codes)))))
     return total
@@ -90,7 +95,7 @@ def _count_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     def fold(lang: str) -> None:
         texts = waiting.pop(lang)
-        held[lang] = add(held.get(lang), count(letters("\n".join(texts))))
+        held[lang] = add(held.get(lang), count(np.concatenate([letters(t) for t in texts])))
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, (codes, counts) in held.items():
