@@ -218,6 +218,68 @@ def test_repeated_passages_meet_texts_without_them(spark):
     assert got == {i: i - i % 3 for i in got}
 
 
+def all_links(texts):
+    """Classes by all pairs of texts that an alignment links."""
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] == texts[j] or (min(len(texts[i]), len(texts[j])) > 3 and similarity(texts[i], texts[j]) >= 0.8)]
+    return classes_of(links, range(len(texts)))
+
+
+def found_classes(spark, texts):
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    return {r.doc_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_texts_without_a_common_shingle_meet(spark):
+    rng = random.Random(21)
+    texts = []
+    for k in range(12):
+        base = [f"e{k}w{rng.randrange(90)}" for _ in range(rng.randrange(15, 240))]
+        other = [f"x{k}y{i}" if i % 5 == 4 else w for i, w in enumerate(base)]
+        texts += [base, other]
+    texts += [["a", "b", "c", "d", "y"] * 40, [w for i in range(40) for w in ("a", "b", "c", "d", f"z{i}")]]
+    want = all_links(texts)
+    assert want == {i: i - i % 2 for i in want} and found_classes(spark, texts) == want
+
+
+def test_short_texts_meet_exactly(spark):
+    rng = random.Random(22)
+    texts = []
+    for k in range(60):
+        base = [f"q{k}w{rng.randrange(30)}" for _ in range(rng.randrange(3, 17))]
+        other = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randrange(2)] = [f"n{rng.randrange(10**6)}"] * rng.randrange(2)
+        texts += [base, other or ["only"]]
+    want = all_links(texts)
+    assert 30 < len(set(want.values())) < 110 and found_classes(spark, texts) == want
+
+
+def test_links_of_a_bucket_do_not_need_its_centre(spark):
+    """Forty pairs about one template: a pair's own words just make the link, others' texts share no more than the template."""
+    rng = random.Random(23)
+    template = [f"t{i}" for i in range(150)]
+    texts = []
+    for k in range(40):
+        own = [f"o{k}w{i}" for i in range(10)]
+        texts += [[*template, *own, *[f"m{k}s{side}w{i}" for i in range(rng.randrange(36, 40))]] for side in (0, 1)]
+    want = all_links(texts)
+    assert want == {i: i - i % 2 for i in want} and found_classes(spark, texts) == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=25), st.lists(st.integers(0, 4), min_size=1, max_size=25), st.integers(0, 8), st.sampled_from([1, 3, 8192]))
+def test_a_narrow_band_in_blocks(a, b, band, block):
+    row = [0] * (len(b) + 1)
+    for i, w in enumerate(a):
+        last = list(row)
+        for j, v in enumerate(b):
+            row[j + 1] = max(last[j + 1], row[j], last[j] + (w == v and abs(i - j) <= band))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(omh, "LCS_BLOCK", block)
+        assert omh._banded_lcs(np.array(a), np.array(b), band) == row[-1]
+
+
 def test_sketches_do_not_depend_on_blocks(monkeypatch):
     words = np.random.default_rng(1).integers(-(2**31), 2**31, size=700).astype(np.int32)
     whole = omh.sketch(words)

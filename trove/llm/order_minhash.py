@@ -2,12 +2,14 @@
 
 A text is its sequence of five-word shingles, each labelled with its occurrence number.  Every hash function keeps the
 ``TUPLE`` smallest labelled shingles in text order; ``ROWS`` such tuples make a band.  A text with repeats has a second
-set of bands, over the first occurrences alone, so that it meets texts that repeat them more or less often.  Texts of
-equal words fold into one representative first.  Texts that share a band are candidates; they are never all paired.  Each
-band's bucket compares its members with one centre, the member that shares most bands overall; similar texts share many
-buckets, each with a centre of its own.  One member of each class that is not the centre's then meets a second member of
-its bucket, by chance, from another class; a text of a family thus meets several of it.  Components of all links are the
-classes.
+set of bands, over the first occurrences alone, so that it meets texts that repeat them more or less often.  A third set
+is over labelled single words, ``WORD_TUPLE`` a band, so that texts meet whose edits lie in every shingle; texts of up to
+``SHORT`` words meet exactly, by all that is left of them without as many words as a link may lack.  Texts of equal words
+fold into one representative first.  Texts that share a band are candidates.  Each band's bucket compares its members with
+one centre, the member that shares most bands overall; similar texts share many buckets, each with a centre of its own.
+One member of each class that is not the centre's then meets a second member of its bucket, by chance, from another class.
+These two steps join nearly all of a family; last, every pair of a bucket whose ends are still in different classes is
+compared, unless their lengths rule a link out.  Components of all links are the classes.
 
 Two texts are similar if an alignment holds 0.8 or more: of their words (matched words over those of the longer text), or
 of their distinct shingles (collinear matched ones over all of both).
@@ -16,6 +18,8 @@ of their distinct shingles (collinear matched ones over all of both).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +33,22 @@ from trove.plans.scratch import discard, materialise, sized
 SHINGLE = 5
 SIMILARITY = 0.8
 TUPLE, ROWS, BANDS = 2, 2, 64
+#: Words in a band and bands over words: a link of 0.8 of the words shares at least two thirds of all, thus a band but for 1e-6.
+WORD_TUPLE, WORD_BANDS = 4, 64
+#: Texts of up to so many words meet by what is left without one or two of them.
+SHORT = 14
+#: Places of an alignment handled at a time.
+LCS_BLOCK = 8192
+#: Words of the texts on one side of a cell of pairs.
+CELL_WORDS = 50_000
 #: Columns of the hash matrix handled at a time.
 BLOCK = 4096
 
 _rng = np.random.default_rng(20)
 _MULT = _rng.integers(1, 2**63, size=BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _XOR = _rng.integers(0, 2**63, size=BANDS * ROWS, dtype=np.uint64) << np.uint64(1)
+_WORD_MULT = _rng.integers(1, 2**63, size=WORD_BANDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_WORD_XOR = _rng.integers(0, 2**63, size=WORD_BANDS, dtype=np.uint64) << np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,37 +81,82 @@ def labelled(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(words: np.ndarray) -> np.ndarray:
-    """One hash per band; for a text with repeats those of all shingles and those of first occurrences, each hash once."""
+    """Hashes of a text's buckets, each once.
+
+    Bands of all shingles, for a text with repeats also of first occurrences, and of words; for a short text its remains.
+    """
     plain = shingles(words)
     h = labelled(plain)
     first = np.sort(np.unique(plain, return_index=True)[1])
-    return _bands(h) if len(first) == len(h) else np.unique(np.concatenate((_bands(h), _bands(h[first]))))
-
-
-def _bands(h: np.ndarray) -> np.ndarray:
-    """One hash per band of a sequence of different hashes."""
-    rows = np.arange(BANDS * ROWS)
+    found = [_bands(h)]
+    if len(first) < len(h):
+        found.append(_bands(h[first]))
+    single = words.astype(np.int64).astype(np.uint64)
+    if len(words) > SIMILARITY * SHORT:  # may link to a text that is not short
+        found.append(_word_bands(labelled(_mix(single + _GOLD))))
+    if len(words) <= SHORT:
+        found.append(_remains(single))
+    return np.unique(np.concatenate(found))
+
+
+def _smallest(h: np.ndarray, mult: np.ndarray, xor: np.ndarray, size: int) -> np.ndarray:
+    """One hash per function of the ``size`` smallest of a sequence of different hashes, in text order."""
+    rows = np.arange(len(mult))
     best: list[tuple[np.ndarray, np.ndarray]] = []  # values and places of the smallest found so far
     for at in range(0, len(h), BLOCK):
-        v = (h[None, at : at + BLOCK] ^ _XOR[:, None]) * _MULT[:, None]
-        for _ in range(min(TUPLE, v.shape[1])):
+        v = (h[None, at : at + BLOCK] ^ xor[:, None]) * mult[:, None]
+        for _ in range(min(size, v.shape[1])):
             i = v.argmin(axis=1)
             best.append((v[rows, i], i + at))
             v[rows, i] = np.uint64(2**64 - 1)
-        if len(best) > TUPLE:
+        if len(best) > size:
             values, places = np.stack([b[0] for b in best], 1), np.stack([b[1] for b in best], 1)
-            order = np.argsort(values, axis=1, kind="stable")[:, :TUPLE]
-            best = [(np.take_along_axis(values, order[:, k : k + 1], 1)[:, 0], np.take_along_axis(places, order[:, k : k + 1], 1)[:, 0]) for k in range(TUPLE)]
+            order = np.argsort(values, axis=1, kind="stable")[:, :size]
+            best = [(np.take_along_axis(values, order[:, k : k + 1], 1)[:, 0], np.take_along_axis(places, order[:, k : k + 1], 1)[:, 0]) for k in range(size)]
     places = np.sort(np.stack([b[1] for b in best], 1), axis=1)  # text order
-    tuples = np.zeros(BANDS * ROWS, dtype=np.uint64)
+    tuples = np.zeros(len(mult), dtype=np.uint64)
     for k in range(places.shape[1]):
         tuples = _mix(tuples + _GOLD + h[places[:, k]])
+    return tuples
+
+
+def _bands(h: np.ndarray) -> np.ndarray:
+    """One hash per band of a sequence of different hashes."""
+    tuples = _smallest(h, _MULT, _XOR, TUPLE)
     bands = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         bands = _mix(bands * _GOLD + tuples.reshape(BANDS, ROWS)[:, k])
     return bands.view(np.int64)
 
 
+def _word_bands(h: np.ndarray) -> np.ndarray:
+    """One hash per band of labelled words."""
+    return _mix(np.arange(BANDS, BANDS + WORD_BANDS, dtype=np.uint64) * _GOLD + _smallest(h, _WORD_MULT, _WORD_XOR, WORD_TUPLE)).view(np.int64)
+
+
+@lru_cache(maxsize=64)
+def _kept(n: int, without: int) -> np.ndarray:
+    """The places left without ``without`` of ``n``, a row for each choice."""
+    return np.array(list(combinations(range(n), n - without)), dtype=np.int64)
+
+
+def _remains(words: np.ndarray) -> np.ndarray:
+    """Hashes of a short text without any words that a link of it may lack; two linked short texts have one in common."""
+    n, found = len(words), []
+    for without in range(n - _needed(n) + 1):
+        left = words[_kept(n, without)]
+        h = np.full(len(left), BANDS + WORD_BANDS, dtype=np.uint64)
+        for k in range(n - without):
+            h = _mix(h + _GOLD + left[:, k])
+        found.append(h)
+    return np.concatenate(found).view(np.int64)
+
+
+def _needed(longer: int, least: float = SIMILARITY) -> int:
+    """Words that a link of a text of ``longer`` words with one no longer has to match."""
+    return int(np.ceil(least * longer - 1e-9))
+
+
 def _longest_increasing(values: np.ndarray) -> np.ndarray:
     """Indexes of a longest increasing subsequence of different values."""
     import bisect
@@ -119,17 +178,32 @@ def _longest_increasing(values: np.ndarray) -> np.ndarray:
 
 
 def _banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Longest common subsequence of two sequences within ``band`` of the diagonal."""
-    width = 2 * band + 1
-    padded = np.concatenate((np.zeros(band, b.dtype), b, np.zeros(band + len(a), b.dtype)))
-    inside = np.concatenate((np.zeros(band, bool), np.ones(len(b), bool), np.zeros(band + len(a), bool)))
-    row = np.zeros(width + 1, dtype=np.int32)  # row[j]: column i - band + j; the last cell stays outside
-    for i in range(len(a)):
-        equal = (padded[i : i + width] == a[i]) & inside[i : i + width]
-        best = np.maximum(row[:-1] + equal, row[1:])
-        row[:-1] = np.maximum.accumulate(best)
-        row[-1] = row[-2]
-    return int(row[-2])
+    """Longest common subsequence of two sequences within ``band`` of the diagonal; a bit a place of ``b``, a step a word of ``a``.
+
+    ``b`` is taken in blocks, so that the places of its words stay small; carries pass from a block to the next.
+    """
+    words, rows = a.tolist(), len(a)
+    carries = [0] * rows  # of each step, from the block before
+    found, wide = 0, (1 << 2 * band + 1) - 1
+    for at in range(0, len(b), LCS_BLOCK):
+        block = b[at : at + LCS_BLOCK].tolist()
+        places: dict[int, int] = {}
+        for k, w in enumerate(block):
+            places[w] = places.get(w, 0) | 1 << k
+        size = len(block)
+        every = free = (1 << size) - 1
+        for i in range(rows):
+            left = i - band - at
+            m = places.get(words[i], 0)
+            if m:
+                m &= wide << left if left >= 0 else wide >> -left
+            if m or carries[i]:
+                u = free & m
+                total = free + u + carries[i]
+                carries[i] = total >> size
+                free = (total | (free & ~m)) & every
+        found += size - free.bit_count()
+    return found
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -148,7 +222,7 @@ def _aligned_words(a: np.ndarray, b: np.ndarray, places: np.ndarray, least: floa
     other.  The rest is aligned in the band that a long enough alignment cannot leave.
     """
     longer, shorter = max(len(a), len(b)), min(len(a), len(b))
-    needed = int(np.ceil(least * longer - 1e-9))
+    needed = _needed(longer, least)
     if shorter < needed:
         return 0
     if places.shape[1]:
@@ -196,12 +270,78 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "bands"])
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = _lists(batch.column(1))
+        counts = [pa.array(c, pa.int32()) for c in ([len(w) for w in lists], [len(np.unique(shingles(w))) for w in lists])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *counts], ["id", "n_words", "n_shingles"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [compare(x, y) for x, y in zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets of hashes."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[code] > 1
+    code, owner = np.unique(code[several], return_inverse=True)[1], owner[several]
+    held = np.zeros((len(sets), code.max(initial=-1) + 1), dtype=np.float32)
+    held[owner, code] = 1
+    return held @ held.T
+
+
+def _possible(texts: list[np.ndarray]) -> np.ndarray:
+    """Whether two texts share words or shingles enough for a link, for all pairs."""
+    of_words = _overlaps([labelled(w.astype(np.int64).astype(np.uint64)) for w in texts])
+    n = np.array([len(w) for w in texts])
+    needed = np.ceil(SIMILARITY * np.maximum(n[:, None], n) - 1e-9)
+    sets = [np.unique(shingles(w)) for w in texts]
+    size = np.array([len(x) for x in sets])
+    return (of_words >= needed) | (_overlaps(sets) * (1 + SIMILARITY) >= SIMILARITY * (size[:, None] + size) - 1e-6)
+
+
+def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            pairs, docs = batch.column(0)[k].values, batch.column(1)[k].values
+            a, b = (pairs.field(c).to_numpy() for c in (0, 1))
+            ids, texts = docs.field(0).to_numpy(), _lists(docs.field(1))
+            order = np.argsort(ids)
+            x, y = (order[np.searchsorted(ids, side, sorter=order)] for side in (a, b))
+            if len(a) > 1:
+                kept = _possible(texts)[x, y]
+                a, b, x, y = a[kept], b[kept], x[kept], y[kept]
+            found = [compare(texts[i], texts[j]) for i, j in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+
+
+def _compared_cells(pairs: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b, similarity) of the pairs that share enough: cells of pairs, each with its texts once.
+
+    Texts of as many pairs and about as many words are dealt to blocks of some ``CELL_WORDS`` words, so that pairs of texts
+    that all meet each other fill their cells.
+    """
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.log2(F.count(F.lit(1))).cast("int").alias("met"))
+    placed = materialise(ends.join(sizes.select("id", "n_words"), "id").select("id", "met", F.log2(F.col("n_words") + 1).cast("int").alias("long"), "n_words"), "omh-ends")
+    blocks = placed.groupBy("met", "long").agg(F.ceil(F.sum("n_words") / CELL_WORDS).alias("blocks"))
+    placed = materialise(placed.join(F.broadcast(blocks), ["met", "long"]).select("id", F.struct("met", "long", F.pmod(F.xxhash64("id"), "blocks").alias("nth")).alias("block")), "omh-blocks")
+    of = lambda name: placed.select(F.col("id").alias(name), F.col("block").alias(f"block_{name}"))
+    first = F.col("block_a") <= F.col("block_b")
+    cell = F.xxhash64(F.when(first, F.col("block_a")).otherwise(F.col("block_b")), F.when(first, F.col("block_b")).otherwise(F.col("block_a")))
+    celled = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select(cell.alias("cell"), "a", "b"), "omh-cells")
+    texts = celled.select("cell", F.col("a").alias("id")).union(celled.select("cell", "b")).distinct().join(words, "id")
+    listed = celled.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    joined = listed.join(texts.groupBy("cell").agg(F.collect_list(F.struct("id", "words")).alias("docs")), "cell").select("pairs", "docs")
+    found = materialise(joined.mapInArrow(_verify_cells, "a long, b long, similarity double"), "omh-compared")
+    for spent in (placed, celled):
+        discard(spent)
+    return found
+
+
 def _compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """(a, b, similarity) for each pair of ids."""
     left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
@@ -243,11 +383,39 @@ def _second(starred: DataFrame, links: DataFrame) -> DataFrame:
     return pairs
 
 
+def _rest(starred: DataFrame, met: DataFrame, words: DataFrame) -> DataFrame:
+    """(a, b, similarity) for every pair of a bucket whose ends are in different components, but those that cannot be linked.
+
+    met: (a, b, similarity) of the pairs compared before.
+
+    All members but those of a bucket's largest class meet all of it; buckets of one class have none.
+    """
+    roots = materialise(components(met.where(F.col("similarity") >= SIMILARITY).select("a", "b")), "omh-roots")
+    placed = starred.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    placed = materialise(placed, "omh-placed")
+    held = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root")).alias("m")).where("classes > 1")
+    mixed = materialise(placed.join(most.select("bucket", F.col("m.root").alias("largest")), "bucket"), "omh-mixed")
+    sizes = materialise(words.join(sized(mixed.select("id").distinct()), "id", "left_semi").mapInArrow(_sizes, "id long, n_words int, n_shingles int"), "omh-lengths")
+    mixed_sizes = materialise(mixed.join(sizes, "id"), "omh-sized")
+    of = lambda df, name: df.select("bucket", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "root", "n_words", "n_shingles")])
+    few, every = of(mixed_sizes.where("root <> largest"), "a"), of(mixed_sizes, "b")
+    near = lambda c: F.least(f"a_{c}", f"b_{c}") >= F.greatest(f"a_{c}", f"b_{c}") * SIMILARITY - 1e-6
+    together = few.join(every, "bucket").where(F.col("a_root") != F.col("b_root")).where(near("n_words") | near("n_shingles"))
+    done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = together.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    pairs = materialise(pairs, "omh-rest")
+    found = _compared_cells(pairs, words, sizes)
+    for spent in (roots, placed, mixed, sizes, mixed_sizes, pairs):
+        discard(spent)
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class), class_size.
 
     Links: texts of equal word sequences, and texts whose alignment holds 0.8 or more (see above); classes are the
-    connected components.  Texts of under five words link to equal ones only; runs of over ``LONGEST_WORD`` code points
+    connected components.  Texts of under four words link to equal ones only; runs of over ``LONGEST_WORD`` code points
     without white space count as a word a code point.  A null id or text takes no part: its class_id is its own id and its
     class_size 1.  Texts without a word are equal to each other.  Repeated rows belong to one class and count as often as
     they stand.  Ids are integers; other columns are ignored.
@@ -274,9 +442,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = _second(starred, first.where(enough).select("a", "b"))
     done = first.select("a", "b").union(first.select("b", "a"))
     second = _compared(again.join(done, ["a", "b"], "left_anti"), involved)
-    near = first.union(second).where(enough).select("a", "b")
+    met = first.union(second)
+    third = _rest(starred, met, involved)
+    near = met.union(third).where(enough).select("a", "b")
     classes = materialise(components(near.union(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "omh-classes")
-    for spent in (keyed, several, copies, involved, starred, again, first, second):
+    for spent in (keyed, several, copies, involved, starred, again, first, second, third):
         discard(spent)
     sizes = base.where("id IS NOT NULL AND text IS NOT NULL").join(classes, F.col("id") == F.col("node")).groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
     sizes = materialise(sizes, "omh-sizes")
