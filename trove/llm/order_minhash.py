@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trove.llm.components import components, labels
@@ -33,7 +33,7 @@ from trove.plans.scratch import discard, materialise, sized
 SHINGLE = 5
 SIMILARITY = 0.8
 TUPLE, ROWS, BANDS = 2, 2, 64
-#: Words in a band and bands over words: a link of 0.8 of the words shares at least two thirds of all, thus a band but for 1e-6.
+#: Words in a band and bands over words: a link of 0.8 of the words shares at least two thirds of all, thus a band but for 2e-5 or less.
 WORD_TUPLE, WORD_BANDS = 4, 64
 #: Texts of up to so many words meet by what is left without one or two of them.
 SHORT = 14
@@ -342,6 +342,17 @@ def _compared_cells(pairs: DataFrame, words: DataFrame, sizes: DataFrame) -> Dat
     return found
 
 
+def _near(a: str, b: str) -> Column:
+    """Whether two lengths allow a link."""
+    return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-6
+
+
+def _fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs whose numbers of words or of shingles allow a link."""
+    of = lambda name: sizes.select(F.col("id").alias(name), F.col("n_words").alias(f"{name}_words"), F.col("n_shingles").alias(f"{name}_shingles"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_near("a_words", "b_words") | _near("a_shingles", "b_shingles")).select("a", "b")
+
+
 def _compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """(a, b, similarity) for each pair of ids."""
     left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
@@ -383,7 +394,7 @@ def _second(starred: DataFrame, links: DataFrame) -> DataFrame:
     return pairs
 
 
-def _rest(starred: DataFrame, met: DataFrame, words: DataFrame) -> DataFrame:
+def _rest(starred: DataFrame, met: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
     """(a, b, similarity) for every pair of a bucket whose ends are in different components, but those that cannot be linked.
 
     met: (a, b, similarity) of the pairs compared before.
@@ -396,17 +407,15 @@ def _rest(starred: DataFrame, met: DataFrame, words: DataFrame) -> DataFrame:
     held = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     most = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root")).alias("m")).where("classes > 1")
     mixed = materialise(placed.join(most.select("bucket", F.col("m.root").alias("largest")), "bucket"), "omh-mixed")
-    sizes = materialise(words.join(sized(mixed.select("id").distinct()), "id", "left_semi").mapInArrow(_sizes, "id long, n_words int, n_shingles int"), "omh-lengths")
     mixed_sizes = materialise(mixed.join(sizes, "id"), "omh-sized")
     of = lambda df, name: df.select("bucket", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "root", "n_words", "n_shingles")])
     few, every = of(mixed_sizes.where("root <> largest"), "a"), of(mixed_sizes, "b")
-    near = lambda c: F.least(f"a_{c}", f"b_{c}") >= F.greatest(f"a_{c}", f"b_{c}") * SIMILARITY - 1e-6
-    together = few.join(every, "bucket").where(F.col("a_root") != F.col("b_root")).where(near("n_words") | near("n_shingles"))
+    together = few.join(every, "bucket").where(F.col("a_root") != F.col("b_root")).where(_near("a_n_words", "b_n_words") | _near("a_n_shingles", "b_n_shingles"))
     done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = together.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
     pairs = materialise(pairs, "omh-rest")
     found = _compared_cells(pairs, words, sizes)
-    for spent in (roots, placed, mixed, sizes, mixed_sizes, pairs):
+    for spent in (roots, placed, mixed, mixed_sizes, pairs):
         discard(spent)
     return found
 
@@ -437,16 +446,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(members)
     involved = materialise(hashed.join(sized(starred.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"]), "omh-words")
     pairs = starred.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    first = _compared(pairs, involved)
+    lengths = materialise(involved.mapInArrow(_sizes, "id long, n_words int, n_shingles int"), "omh-lengths")
+    first = _compared(_fitting(pairs, lengths), involved)
     enough = F.col("similarity") >= SIMILARITY
     again = _second(starred, first.where(enough).select("a", "b"))
     done = first.select("a", "b").union(first.select("b", "a"))
-    second = _compared(again.join(done, ["a", "b"], "left_anti"), involved)
+    second = _compared(_fitting(again.join(done, ["a", "b"], "left_anti"), lengths), involved)
     met = first.union(second)
-    third = _rest(starred, met, involved)
+    third = _rest(starred, met, involved, lengths)
     near = met.union(third).where(enough).select("a", "b")
     classes = materialise(components(near.union(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "omh-classes")
-    for spent in (keyed, several, copies, involved, starred, again, first, second, third):
+    for spent in (keyed, several, copies, involved, lengths, starred, again, first, second, third):
         discard(spent)
     sizes = base.where("id IS NOT NULL AND text IS NOT NULL").join(classes, F.col("id") == F.col("node")).groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
     sizes = materialise(sizes, "omh-sizes")
