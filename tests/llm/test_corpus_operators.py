@@ -484,3 +484,66 @@ def test_large_vocabularies_take_four_bytes(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(module, "width", lambda *a: 4)
     got = training_order(odd_docs.coalesce(2), JSON, RANKS, key=3, stride=64, shard_rows=16).collect()
     assert sum(r.n_tokens for r in got) == sum(len(x) for t in odd_docs.collect() for x in encoded({0: t.text}).values())
+
+
+def _families(rng):
+    """Texts of one small vocabulary, all of about a length; every third one an edit of the one before it."""
+    texts = []
+    for i in range(60):
+        n = rng.randrange(150, 200)
+        words = [f"w{min(int(rng.expovariate(0.02)), 300)}" for _ in range(n)]
+        if i % 3 == 2:
+            words = [f"x{k}" if k % 7 == 3 else w for k, w in enumerate(texts[-1])]
+        texts.append(words)
+    return texts
+
+
+def test_words_are_read_for_possible_links_only(spark, monkeypatch):
+    texts = _families(random.Random(31))
+    written = {}
+
+    def counted(df, tag, write=omh.materialise):
+        table = write(df, tag)
+        written[tag] = written.get(tag, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(omh, "materialise", counted)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for cell_words in (omh.CELL_WORDS, 500):  # one cell a bucket, and several
+        monkeypatch.setattr(omh, "CELL_WORDS", cell_words)
+        written.clear()
+        got = {r.doc_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: i - (i % 3 == 2) for i in range(60)}
+        # 1,770 pairs of texts share words; 20 are links
+        assert 20 <= written["omh-compared"] <= 60
+
+
+def test_marks_never_rule_a_link_out():
+    rng = np.random.default_rng(32)
+    texts = [rng.zipf(1.3, size=n).astype(np.int32) % 500 for n in rng.integers(5, 400, size=60)]
+    for t in texts[:30]:  # edits around the threshold, and repeats
+        kept = t[rng.random(len(t)) > 0.2]
+        texts += [kept if len(kept) else t, np.concatenate((t, t[: len(t) // 4])), np.tile(t, 2)]
+    unequal = [(i, j) for i in range(len(texts)) for j in range(i) if not np.array_equal(texts[i], texts[j])]
+    x, y = np.array(unequal).T
+    labelled = [omh.labelled(omh._mix(t.astype(np.int64).astype(np.uint64))) for t in texts]
+    distinct = [np.unique(omh.shingles(t)) for t in texts]
+    docs = {
+        "n_words": np.array([len(t) for t in texts]), "n_shingles": np.array([len(d) for d in distinct]),
+        "word_marks": [omh._marks(h, omh.WORD_BITS) for h in labelled], "shingle_marks": [omh._marks(d, omh.SHINGLE_BITS) for d in distinct],
+    }
+    possible = omh._possible(docs, x, y)
+    linked = np.array([omh.compare(texts[i], texts[j]) >= omh.SIMILARITY for i, j in unequal])
+    assert linked.sum() > 30 and not (linked & ~possible).any()
+    assert possible.sum() < len(unequal) / 4
+
+
+def test_meetings_hold_each_pair_of_a_cell_once(monkeypatch):
+    monkeypatch.setattr(omh, "PAIRS", 5)
+    cell = np.array([0, 0, 0, 0, 1, 1, 2, 2, 2])
+    side = np.array([omh.BOTH, omh.BOTH, omh.EVERY, omh.EVERY, omh.EVERY, omh.EVERY, omh.FEW, omh.EVERY, omh.EVERY])
+    met = [(int(i), int(j)) for x, y in omh._meetings(cell, side) for i, j in zip(x, y, strict=True)]
+    assert sorted(tuple(sorted(p)) for p in met) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (6, 7), (6, 8)]
+    ours = [np.array(b) for b in ([3, 5], [3, 5], [5], [5])]
+    first = omh._first_meetings(np.array([5, 5, 5, 5]), ours, np.array([0, 0, 1]), np.array([1, 2, 3]))
+    assert first.tolist() == [False, True, True]

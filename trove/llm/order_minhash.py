@@ -9,7 +9,11 @@ fold into one representative first.  Texts that share a band are candidates.  Ea
 one centre, the member that shares most bands overall; similar texts share many buckets, each with a centre of its own.
 One member of each class that is not the centre's then meets a second member of its bucket, by chance, from another class.
 These two steps join nearly all of a family; last, every pair of a bucket whose ends are still in different classes is
-compared, unless their lengths rule a link out.  Components of all links are the classes.
+compared.  Components of all links are the classes.
+
+Words are read for pairs only that may be linked: a text's marks, the parities of its hashes of words and of shingles that
+fall to a bit each, differ in no more bits than two texts have hashes alone.  Pairs whose marks or lengths rule a link out
+are left there.
 
 Two texts are similar if an alignment holds 0.8 or more: of their words (matched words over those of the longer text), or
 of their distinct shingles (collinear matched ones over all of both).
@@ -23,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trove.llm.components import components, labels
@@ -39,16 +43,25 @@ WORD_TUPLE, WORD_BANDS = 4, 64
 SHORT = 14
 #: Places of an alignment handled at a time.
 LCS_BLOCK = 8192
-#: Words of the texts on one side of a cell of pairs.
-CELL_WORDS = 50_000
+#: Words of the texts on one side of a cell of a bucket.
+CELL_WORDS = 500_000
+#: Least bits of marks for a word and for a shingle.
+WORD_BITS, SHINGLE_BITS = 1.5, 0.5
+#: Pairs of a cell, and bytes of marks, handled at a time.
+PAIRS, MARKS_BLOCK = 1 << 18, 1 << 22
+#: Columns of a text's sizes and marks.
+SIZES = "id long, n_words int, n_shingles int, word_marks binary, shingle_marks binary"
+MARKS = ["n_words", "n_shingles", "word_marks", "shingle_marks"]
+#: In a cell a text may be one of those that meet all, one of all, or both.
+EVERY, FEW, BOTH = 0, 1, 2
 #: Columns of the hash matrix handled at a time.
 BLOCK = 4096
 
 _rng = np.random.default_rng(20)
-_MULT = _rng.integers(1, 2**63, size=BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_XOR = _rng.integers(0, 2**63, size=BANDS * ROWS, dtype=np.uint64) << np.uint64(1)
-_WORD_MULT = _rng.integers(1, 2**63, size=WORD_BANDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-_WORD_XOR = _rng.integers(0, 2**63, size=WORD_BANDS, dtype=np.uint64) << np.uint64(1)
+_MULT = _rng.integers(1, 2**31, size=BANDS * ROWS, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
+_XOR = _rng.integers(0, 2**32, size=BANDS * ROWS, dtype=np.uint32)
+_WORD_MULT = _rng.integers(1, 2**31, size=WORD_BANDS, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
+_WORD_XOR = _rng.integers(0, 2**32, size=WORD_BANDS, dtype=np.uint32)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,15 +113,18 @@ def sketch(words: np.ndarray) -> np.ndarray:
 
 
 def _smallest(h: np.ndarray, mult: np.ndarray, xor: np.ndarray, size: int) -> np.ndarray:
-    """One hash per function of the ``size`` smallest of a sequence of different hashes, in text order."""
-    rows = np.arange(len(mult))
+    """One hash per function of the ``size`` smallest of a sequence of different hashes, in text order.
+
+    The functions order by the upper halves of the hashes, of equal ones by place.
+    """
+    rows, upper = np.arange(len(mult)), (h >> np.uint64(32)).astype(np.uint32)
     best: list[tuple[np.ndarray, np.ndarray]] = []  # values and places of the smallest found so far
     for at in range(0, len(h), BLOCK):
-        v = (h[None, at : at + BLOCK] ^ xor[:, None]) * mult[:, None]
+        v = (upper[None, at : at + BLOCK] ^ xor[:, None]) * mult[:, None]
         for _ in range(min(size, v.shape[1])):
             i = v.argmin(axis=1)
             best.append((v[rows, i], i + at))
-            v[rows, i] = np.uint64(2**64 - 1)
+            v[rows, i] = np.uint32(2**32 - 1)
         if len(best) > size:
             values, places = np.stack([b[0] for b in best], 1), np.stack([b[1] for b in best], 1)
             order = np.argsort(values, axis=1, kind="stable")[:, :size]
@@ -270,11 +286,22 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "bands"])
 
 
+def _marks(h: np.ndarray, each: float) -> bytes:
+    """Parities of the numbers of hashes that fall to each of at least ``each`` bits a hash; the bits are a power of two."""
+    size = 64
+    while size < each * len(h):
+        size *= 2
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = _lists(batch.column(1))
-        counts = [pa.array(c, pa.int32()) for c in ([len(w) for w in lists], [len(np.unique(shingles(w))) for w in lists])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *counts], ["id", "n_words", "n_shingles"])
+        distinct = [np.unique(shingles(w)) for w in lists]
+        counts = [pa.array([len(x) for x in of], pa.int32()) for of in (lists, distinct)]
+        of_words = [_marks(labelled(_mix(w.astype(np.int64).astype(np.uint64) + _GOLD)), WORD_BITS) for w in lists]
+        of_shingles = [_marks(x, SHINGLE_BITS) for x in distinct]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(of_words, pa.binary()), pa.array(of_shingles, pa.binary())], ["id", *MARKS])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,87 +310,132 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets of hashes."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    several = times[code] > 1
-    code, owner = np.unique(code[several], return_inverse=True)[1], owner[several]
-    held = np.zeros((len(sets), code.max(initial=-1) + 1), dtype=np.float32)
-    held[owner, code] = 1
-    return held @ held.T
+def _share(marks: list[bytes], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """Whether the sets numbered x and y may share as much as is needed: each bit that differs stands for a hash or more of one alone."""
+    length = np.array([len(m) for m in marks], dtype=np.int64)
+    low, found = np.minimum(length[x], length[y]), np.zeros(len(x), dtype=bool)
+    for size in np.unique(low):
+        of = np.flatnonzero(low == size)
+        ends, at = np.unique(np.concatenate((x[of], y[of])), return_inverse=True)
+        # the parts of a longer one fall onto each other
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(marks[e], dtype=np.uint64).reshape(-1, size // 8), axis=0) for e in ends])
+        for k in range(0, len(of), step := max(MARKS_BLOCK // int(size), 1)):
+            part = of[k : k + step]
+            p, q = at[k : k + len(part)], at[len(of) + k : len(of) + k + len(part)]
+            alone = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+            found[part] = sizes[x[part]] + sizes[y[part]] - alone >= 2 * needed[part]
+    return found
+
+
+def _possible(docs: dict[str, list | np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the texts numbered x and y may share words or shingles enough for a link.
 
+    Of two texts without repeated shingles a link by these is one by words too.
+    """
+    words, distinct = docs["n_words"].astype(np.int64), docs["n_shingles"].astype(np.int64)
+    repeats = distinct < words - SHINGLE + 1
+    needed = np.ceil(SIMILARITY * np.maximum(words[x], words[y]) - 1e-9)
+    found = np.minimum(words[x], words[y]) >= needed
+    k = np.flatnonzero(found)
+    found[k] = _share(docs["word_marks"], words, x[k], y[k], needed[k])
+    needed = SIMILARITY / (1 + SIMILARITY) * (distinct[x] + distinct[y]) - 1e-6
+    k = np.flatnonzero(~found & (repeats[x] | repeats[y]) & (np.minimum(distinct[x], distinct[y]) >= needed))
+    found[k] = _share(docs["shingle_marks"], distinct, x[k], y[k], needed[k])
+    return found
 
-def _possible(texts: list[np.ndarray]) -> np.ndarray:
-    """Whether two texts share words or shingles enough for a link, for all pairs."""
-    of_words = _overlaps([labelled(w.astype(np.int64).astype(np.uint64)) for w in texts])
-    n = np.array([len(w) for w in texts])
-    needed = np.ceil(SIMILARITY * np.maximum(n[:, None], n) - 1e-9)
-    sets = [np.unique(shingles(w)) for w in texts]
-    size = np.array([len(x) for x in sets])
-    return (of_words >= needed) | (_overlaps(sets) * (1 + SIMILARITY) >= SIMILARITY * (size[:, None] + size) - 1e-6)
 
+def _first_meetings(bucket: np.ndarray, buckets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the texts numbered x and y, which meet in the bucket of x, share none that comes before it.
 
-def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            pairs, docs = batch.column(0)[k].values, batch.column(1)[k].values
-            a, b = (pairs.field(c).to_numpy() for c in (0, 1))
-            ids, texts = docs.field(0).to_numpy(), _lists(docs.field(1))
-            order = np.argsort(ids)
-            x, y = (order[np.searchsorted(ids, side, sorter=order)] for side in (a, b))
-            if len(a) > 1:
-                kept = _possible(texts)[x, y]
-                a, b, x, y = a[kept], b[kept], x[kept], y[kept]
-            found = [compare(texts[i], texts[j]) for i, j in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], ["a", "b", "similarity"])
-
-
-def _compared_cells(pairs: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs that share enough: cells of pairs, each with its texts once.
-
-    Texts of as many pairs and about as many words are dealt to blocks of some ``CELL_WORDS`` words, so that pairs of texts
-    that all meet each other fill their cells.
+    buckets: of each text, in ascending order.
     """
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.log2(F.count(F.lit(1))).cast("int").alias("met"))
-    placed = materialise(ends.join(sizes.select("id", "n_words"), "id").select("id", "met", F.log2(F.col("n_words") + 1).cast("int").alias("long"), "n_words"), "omh-ends")
-    blocks = placed.groupBy("met", "long").agg(F.ceil(F.sum("n_words") / CELL_WORDS).alias("blocks"))
-    placed = materialise(placed.join(F.broadcast(blocks), ["met", "long"]).select("id", F.struct("met", "long", F.pmod(F.xxhash64("id"), "blocks").alias("nth")).alias("block")), "omh-blocks")
-    of = lambda name: placed.select(F.col("id").alias(name), F.col("block").alias(f"block_{name}"))
-    first = F.col("block_a") <= F.col("block_b")
-    cell = F.xxhash64(F.when(first, F.col("block_a")).otherwise(F.col("block_b")), F.when(first, F.col("block_b")).otherwise(F.col("block_a")))
-    celled = materialise(pairs.join(of("a"), "a").join(of("b"), "b").select(cell.alias("cell"), "a", "b"), "omh-cells")
-    texts = celled.select("cell", F.col("a").alias("id")).union(celled.select("cell", "b")).distinct().join(words, "id")
-    listed = celled.groupBy("cell").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    joined = listed.join(texts.groupBy("cell").agg(F.collect_list(F.struct("id", "words")).alias("docs")), "cell").select("pairs", "docs")
-    found = materialise(joined.mapInArrow(_verify_cells, "a long, b long, similarity double"), "omh-compared")
-    for spent in (placed, celled):
-        discard(spent)
+    found = np.ones(len(x), dtype=bool)
+    order = np.argsort(x, kind="stable")
+    for of in np.split(order, np.flatnonzero(np.diff(x[order])) + 1) if len(x) else ():
+        k = x[of[0]]
+        before = buckets[k][: np.searchsorted(buckets[k], bucket[k])]
+        if len(before):
+            theirs = [buckets[i] for i in y[of]]
+            owner = np.repeat(np.arange(len(of)), [len(t) for t in theirs])
+            found[of[owner[np.isin(np.concatenate(theirs), before)]]] = False
     return found
 
 
+def _meetings(cell: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the texts that meet, some ``PAIRS`` at a time; each text stands with its cell, in the order of these."""
+    rows, columns = np.flatnonzero(side != EVERY), np.flatnonzero(side != FEW)
+    start, end = (np.searchsorted(cell[columns], cell[rows], side=s) for s in ("left", "right"))
+    ends = np.cumsum(end - start)
+    at = 0
+    while at < len(rows):
+        to = max(int(np.searchsorted(ends, ends[at] + PAIRS)), at + 1)
+        times = end[at:to] - start[at:to]
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        x, y = np.repeat(rows[at:to], times), columns[np.repeat(start[at:to], times) + nth]
+        once = (x < y) | (side[x] != BOTH) | (side[y] != BOTH)
+        yield x[once], y[once]
+        at = to
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs of a cell that may be linked, their ends in different classes and in no common bucket before."""
+    for batch in batches:
+        lists = batch.column(1)
+        times = np.diff(lists.offsets.to_numpy())
+        cell, bucket = np.repeat(np.arange(len(lists)), times), np.repeat(batch.column(0).to_numpy(), times)
+        fields = lists.flatten().flatten()
+        id_, root, side = (f.to_numpy() for f in fields[:3])
+        buckets = _lists(fields[3])
+        docs = {name: f.to_pylist() if name.endswith("marks") else f.to_numpy() for name, f in zip(MARKS, fields[4:], strict=True)}
+        for x, y in _meetings(cell, side):
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            kept = _possible(docs, x, y)
+            x, y = x[kept], y[kept]
+            kept = _first_meetings(bucket, buckets, x, y)
+            ends = id_[x[kept]], id_[y[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(f(*ends), pa.int64()) for f in (np.minimum, np.maximum)], ["a", "b"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that may be linked."""
+    for batch in batches:
+        n = np.arange(batch.num_rows)
+        both = {name: (batch.column(2 + i), batch.column(2 + len(MARKS) + i)) for i, name in enumerate(MARKS)}
+        docs = {name: a.to_pylist() + b.to_pylist() if name.endswith("marks") else np.concatenate((a.to_numpy(), b.to_numpy())) for name, (a, b) in both.items()}
+        kept = pa.array(_possible(docs, n, n + batch.num_rows))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in (0, 1)], ["a", "b"])
+
+
 def _near(a: str, b: str) -> Column:
     """Whether two lengths allow a link."""
     return F.least(a, b) >= F.greatest(a, b) * SIMILARITY - 1e-6
 
 
 def _fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs whose numbers of words or of shingles allow a link."""
-    of = lambda name: sizes.select(F.col("id").alias(name), F.col("n_words").alias(f"{name}_words"), F.col("n_shingles").alias(f"{name}_shingles"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(_near("a_words", "b_words") | _near("a_shingles", "b_shingles")).select("a", "b")
+    """The pairs whose numbers of words or of shingles, and whose marks, allow a link."""
+    of = lambda name, columns: sizes.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    near = _near("a_n_words", "b_n_words") | _near("a_n_shingles", "b_n_shingles")
+    pairs = pairs.join(of("a", MARKS[:2]), "a").join(of("b", MARKS[:2]), "b").where(near).select("a", "b")
+    joined = pairs.join(of("b", MARKS), "b").join(of("a", MARKS), "a").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in MARKS])
+    return materialise(joined.mapInArrow(_likely, "a long, b long"), "omh-pairs")
 
 
 def _compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(a, b, similarity) for each pair of ids."""
+    """(a, b, similarity) for each pair of ids of a scratch table, which is discarded."""
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    words = words.join(sized(ends), "id", "left_semi")
     left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
-    return materialise(joined.mapInArrow(_verify, "a long, b long, similarity double"), "omh-compared")
+    found = materialise(joined.mapInArrow(_verify, "a long, b long, similarity double"), "omh-compared")
+    discard(pairs)
+    return found
 
 
 def _starred(members: DataFrame) -> DataFrame:
     """(bucket, id, centre): the member that shares most rows with others, over all buckets, is a bucket's centre."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialise(members.join(sizes, "bucket").select("bucket", "id", "size"), "omh-buckets")
+    counted = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    shared = materialise(counted.where("size > 1").select("bucket", "id", "size"), "omh-buckets")
     weight = materialise(shared.groupBy("id").agg(F.sum("size").alias("weight")), "omh-weights")
     centre = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("centre"))
     found = materialise(shared.select("bucket", "id").join(centre, "bucket"), "omh-stars")
@@ -394,6 +466,26 @@ def _second(starred: DataFrame, links: DataFrame) -> DataFrame:
     return pairs
 
 
+def _cells(mixed: DataFrame) -> DataFrame:
+    """(bucket, cell, id, root, side): a bucket's texts dealt to cells in which its few meet all.
+
+    mixed: (bucket, id, root, few, n_words), few being all but a bucket's largest class.
+
+    Nearly all buckets are one cell.  A larger one has its few and its every text in blocks of some ``CELL_WORDS`` words, and
+    a cell for each two blocks.
+    """
+    blocks = lambda n: F.greatest(F.ceil(n / CELL_WORDS), F.lit(1)).cast("int")
+    of = mixed.groupBy("bucket").agg(blocks(F.sum("n_words")).alias("every"), blocks(F.sum(F.when(F.col("few"), F.col("n_words")))).alias("fews")).where("every > 1")
+    placed = mixed.join(of, "bucket", "left")
+    at = lambda i, j, side: F.struct(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j")).alias("cell"), F.lit(side).alias("side"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    one = F.array(F.when(F.col("few"), at(F.lit(0), F.lit(0), BOTH)).otherwise(at(F.lit(0), F.lit(0), EVERY)))
+    as_every = F.transform(F.sequence(F.lit(0), F.col("fews") - 1), lambda i: at(i, own("every"), EVERY))
+    as_few = F.transform(F.sequence(F.lit(0), F.col("every") - 1), lambda j: at(own("fews"), j, FEW))
+    cells = F.when(F.col("every").isNull(), one).when(F.col("few"), F.concat(as_every, as_few)).otherwise(as_every)
+    return placed.select("bucket", "id", "root", F.explode(cells).alias("at")).select("bucket", F.col("at.cell").alias("cell"), "id", "root", F.col("at.side").alias("side"))
+
+
 def _rest(starred: DataFrame, met: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
     """(a, b, similarity) for every pair of a bucket whose ends are in different components, but those that cannot be linked.
 
@@ -406,20 +498,28 @@ def _rest(starred: DataFrame, met: DataFrame, words: DataFrame, sizes: DataFrame
     placed = materialise(placed, "omh-placed")
     held = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     most = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root")).alias("m")).where("classes > 1")
-    mixed = materialise(placed.join(most.select("bucket", F.col("m.root").alias("largest")), "bucket"), "omh-mixed")
-    mixed_sizes = materialise(mixed.join(sizes, "id"), "omh-sized")
-    of = lambda df, name: df.select("bucket", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "root", "n_words", "n_shingles")])
-    few, every = of(mixed_sizes.where("root <> largest"), "a"), of(mixed_sizes, "b")
-    together = few.join(every, "bucket").where(F.col("a_root") != F.col("b_root")).where(_near("a_n_words", "b_n_words") | _near("a_n_shingles", "b_n_shingles"))
+    mixed = placed.join(most.select("bucket", F.col("m.root").alias("largest")), "bucket").select("bucket", "id", "root", (F.col("root") != F.col("largest")).alias("few"))
+    mixed = materialise(mixed.join(sizes.select("id", "n_words"), "id"), "omh-mixed")
+    celled = materialise(_cells(mixed), "omh-cells")
+    of = mixed.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).join(sizes, "id")
+    listed = celled.join(of, "id").groupBy("bucket", "cell").agg(F.collect_list(F.struct("id", "root", "side", "buckets", *MARKS)).alias("docs"))
     done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = together.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    pairs = materialise(pairs, "omh-rest")
-    found = _compared_cells(pairs, words, sizes)
-    for spent in (roots, placed, mixed, mixed_sizes, pairs):
+    pairs = listed.select("bucket", "docs").mapInArrow(_open_pairs, "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
+    found = _compared(materialise(pairs, "omh-rest"), words)
+    for spent in (roots, placed, mixed, celled):
         discard(spent)
     return found
 
 
+def _one_each(texts: DataFrame) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """One text for each id, and the scratch tables that it reads besides; nothing is dealt anew where no id stands twice."""
+    several = materialise(texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "omh-repeated")
+    if several.isEmpty():
+        return texts, (several,)
+    once = materialise(texts.join(sized(several), "id", "left_semi").dropDuplicates(["id"]), "omh-once")
+    return texts.join(sized(several), "id", "left_anti").union(once), (several, once)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (the smallest id of its class), class_size.
 
@@ -432,21 +532,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     usable = base.where("id IS NOT NULL AND text IS NOT NULL").select("id", words_of(F.col("text")).alias("words"))
-    keyed = materialise(usable.select("id", F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("key")), "omh-keys")
+    key = F.unhex(F.sha2(F.array_join("words", " "), 256)).alias("key")
+    texts = materialise(usable.select("id", key, F.transform("words", lambda w: F.hash(w)).alias("words")), "omh-words")
+    keyed, hashed = texts.select("id", "key"), texts.select("id", "words")
     exact = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     # only keys of several rows are joined back; all other rows stand for themselves
     several = materialise(exact.where("n > 1"), "omh-copies")
     copies = materialise(keyed.join(several, "key").select("id", "rep").distinct(), "omh-members")
     folded = copies.where("id <> rep").select("id")
 
-    hashed = usable.select("id", F.transform("words", lambda w: F.hash(w)).alias("words"))
     reps = hashed.join(sized(folded), "id", "left_anti")
-    members = materialise(reps.mapInArrow(_sketches, "id long, bands array<long>").select("id", F.explode("bands").alias("bucket")), "omh-bands")
-    starred = _starred(members)
-    discard(members)
-    involved = materialise(hashed.join(sized(starred.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"]), "omh-words")
+    starred = _starred(reps.mapInArrow(_sketches, "id long, bands array<long>").select("id", F.explode("bands").alias("bucket")))
+    involved, repeated = _one_each(hashed)
     pairs = starred.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    lengths = materialise(involved.mapInArrow(_sizes, "id long, n_words int, n_shingles int"), "omh-lengths")
+    lengths = involved.join(sized(starred.select("id").distinct()), "id", "left_semi").mapInArrow(_sizes, SIZES)
+    lengths = materialise(lengths, "omh-lengths")
     first = _compared(_fitting(pairs, lengths), involved)
     enough = F.col("similarity") >= SIMILARITY
     again = _second(starred, first.where(enough).select("a", "b"))
@@ -456,7 +556,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     third = _rest(starred, met, involved, lengths)
     near = met.union(third).where(enough).select("a", "b")
     classes = materialise(components(near.union(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "omh-classes")
-    for spent in (keyed, several, copies, involved, lengths, starred, again, first, second, third):
+    for spent in (texts, several, copies, *repeated, lengths, starred, again, first, second, third):
         discard(spent)
     sizes = base.where("id IS NOT NULL AND text IS NOT NULL").join(classes, F.col("id") == F.col("node")).groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
     sizes = materialise(sizes, "omh-sizes")
