@@ -7,9 +7,11 @@ is over labelled single words, ``WORD_TUPLE`` a band, so that texts meet whose e
 ``SHORT`` words meet exactly, by all that is left of them without as many words as a link may lack.  Texts of equal words
 fold into one representative first.  Texts that share a band are candidates.  Each band's bucket compares its members with
 one centre, the member that shares most bands overall; similar texts share many buckets, each with a centre of its own.
-One member of each class that is not the centre's then meets a second member of its bucket, by chance, from another class.
-These two steps join nearly all of a family; last, every pair of a bucket whose ends are still in different classes is
-compared.  Components of all links are the classes.
+With that all pairs of the centre are done, and it leaves its bucket; a bucket of two is done with its only pair.  In buckets
+of over ``MANY`` one member of each class that is not the centre's then meets a second member, by chance, from another class.
+These two steps join nearly all of a family; last, every pair without the centre whose ends are still in different classes is
+compared.
+Components of all links are the classes; those of the first two steps are only joined further by the links of the last.
 
 Words are read for pairs only that may be linked: a text's marks, the parities of its hashes of words and of shingles that
 fall to a bit each, differ in no more bits than two texts have hashes alone.  Pairs whose marks or lengths rule a link out
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trove.llm.components import components, labels
+from trove.llm.components import components, extended, labels
 from trove.llm.words import words as words_of
 from trove.plans.scratch import discard, materialise, sized
 
@@ -41,6 +43,8 @@ TUPLE, ROWS, BANDS = 2, 2, 64
 WORD_TUPLE, WORD_BANDS = 4, 64
 #: Texts of up to so many words meet by what is left without one or two of them.
 SHORT = 14
+#: Texts in a bucket from which on chance meetings spare more pairs than they cost.
+MANY = 16
 #: Places of an alignment handled at a time.
 LCS_BLOCK = 8192
 #: Words of the texts on one side of a cell of a bucket.
@@ -109,7 +113,8 @@ def sketch(words: np.ndarray) -> np.ndarray:
         found.append(_word_bands(labelled(_mix(single + _GOLD))))
     if len(words) <= SHORT:
         found.append(_remains(single))
-    return np.unique(np.concatenate(found))
+    # 48 bits: two that fall together by chance add a comparison
+    return np.unique(np.concatenate(found).view(np.uint64) >> np.uint64(16)).view(np.int64)
 
 
 def _smallest(h: np.ndarray, mult: np.ndarray, xor: np.ndarray, size: int) -> np.ndarray:
@@ -312,7 +317,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _share(marks: list[bytes], sizes: np.ndarray, x: np.ndarray, y: np.ndarray, needed: np.ndarray) -> np.ndarray:
     """Whether the sets numbered x and y may share as much as is needed: each bit that differs stands for a hash or more of one alone."""
-    length = np.array([len(m) for m in marks], dtype=np.int64)
+    length = np.array([len(m or b"") for m in marks], dtype=np.int64)
     low, found = np.minimum(length[x], length[y]), np.zeros(len(x), dtype=bool)
     for size in np.unique(low):
         of = np.flatnonzero(low == size)
@@ -330,7 +335,7 @@ def _share(marks: list[bytes], sizes: np.ndarray, x: np.ndarray, y: np.ndarray,
 def _possible(docs: dict[str, list | np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the texts numbered x and y may share words or shingles enough for a link.
 
-    Of two texts without repeated shingles a link by these is one by words too.
+    Of two texts without repeated shingles a link by these is one by words too, and their marks of shingles may be null.
     """
     words, distinct = docs["n_words"].astype(np.int64), docs["n_shingles"].astype(np.int64)
     repeats = distinct < words - SHINGLE + 1
@@ -347,7 +352,7 @@ def _possible(docs: dict[str, list | np.ndarray], x: np.ndarray, y: np.ndarray)
 def _first_meetings(bucket: np.ndarray, buckets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the texts numbered x and y, which meet in the bucket of x, share none that comes before it.
 
-    buckets: of each text, in ascending order.
+    buckets: of each text, in ascending order; those before that of its row are enough.
     """
     found = np.ones(len(x), dtype=bool)
     order = np.argsort(x, kind="stable")
@@ -416,8 +421,10 @@ def _fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs whose numbers of words or of shingles, and whose marks, allow a link."""
     of = lambda name, columns: sizes.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
     near = _near("a_n_words", "b_n_words") | _near("a_n_shingles", "b_n_shingles")
-    pairs = pairs.join(of("a", MARKS[:2]), "a").join(of("b", MARKS[:2]), "b").where(near).select("a", "b")
-    joined = pairs.join(of("b", MARKS), "b").join(of("a", MARKS), "a").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in MARKS])
+    repeats = F.expr(" OR ".join(f"{x}_n_shingles < {x}_n_words - {SHINGLE - 1}" for x in "ab")).alias("repeats")
+    pairs = pairs.join(of("a", MARKS[:2]), "a").join(of("b", MARKS[:2]), "b").where(near).select("a", "b", repeats)
+    marked = pairs.join(of("b", MARKS), "b").withColumn("b_shingle_marks", F.when(F.col("repeats"), F.col("b_shingle_marks")))
+    joined = marked.join(of("a", MARKS), "a").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in MARKS])
     return materialise(joined.mapInArrow(_likely, "a long, b long"), "omh-pairs")
 
 
@@ -432,36 +439,44 @@ def _compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return found
 
 
-def _starred(members: DataFrame) -> DataFrame:
-    """(bucket, id, centre): the member that shares most rows with others, over all buckets, is a bucket's centre."""
-    counted = members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-    shared = materialise(counted.where("size > 1").select("bucket", "id", "size"), "omh-buckets")
+def _starred(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bucket, id, centre, size) of buckets of three or more; (a, b) of all centres and members, a < b; (id) of all that share a bucket.
+
+    The member that shares most rows with others, over all buckets, is the centre of a bucket of ``size``.
+    """
+    bucket = Window.partitionBy("bucket")
+    counted = members.select("bucket", "id", F.count(F.lit(1)).over(bucket).alias("size"), F.min("id").over(bucket).alias("least"))
+    mate = F.when(F.expr("size = 2 AND id <> least"), F.col("least")).alias("mate")
+    shared = materialise(counted.where("size > 1").select("bucket", "id", "size", mate), "omh-buckets")
     weight = materialise(shared.groupBy("id").agg(F.sum("size").alias("weight")), "omh-weights")
-    centre = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("c")).select("bucket", (-F.col("c.minus")).alias("centre"))
-    found = materialise(shared.select("bucket", "id").join(centre, "bucket"), "omh-stars")
+    several = shared.where("size > 2").select("bucket", "id", "size")
+    most = F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("c")
+    centre = several.select("bucket", "id").join(weight, "id").groupBy("bucket").agg(most).select("bucket", (-F.col("c.minus")).alias("centre"))
+    found = materialise(several.join(centre, "bucket").select("bucket", "id", "centre", "size"), "omh-stars")
+    met = found.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    pairs = materialise(met.union(shared.where("mate IS NOT NULL").select("mate", "id")).distinct(), "omh-met")
     discard(shared)
-    discard(weight)
-    return found
+    return found, pairs, weight.select("id")
 
 
 def _second(starred: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b): one member of each class of a bucket but the centre's, with a member of another class, both by chance.
+    """(a, b), a < b: one member of each class of a large bucket but the centre's, with a member of another class, both by chance.
 
     Classes are those of two steps along the links: where these part a component, more is compared than need be.
     """
     roots = materialise(labels(links), "omh-roots")
     of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     root, centre = F.coalesce("id_root", "id"), F.coalesce("centre_root", "centre")
-    placed = starred.join(of("id"), "id", "left").join(of("centre"), "centre", "left")
-    placed = materialise(placed.select("bucket", "id", root.alias("root"), (root != centre).alias("apart"), F.xxhash64("bucket", "id").alias("chance")), "omh-placed")
-    apart = placed.where("apart").groupBy("bucket", "root").agg(F.min(F.struct("chance", "id")).alias("m")).select("bucket", "root", "m.id")
-    apart = materialise(apart, "omh-apart")
-    open_ = placed.join(apart.select("bucket").distinct(), "bucket", "left_semi")
-    first = materialise(open_.groupBy("bucket").agg(F.min(F.struct("chance", "id", "root")).alias("m")).select("bucket", F.col("m.id").alias("one"), F.col("m.root").alias("one_root")), "omh-first")
-    other = open_.join(first, "bucket").where("root <> one_root").groupBy("bucket").agg(F.min(F.struct("chance", "id")).alias("m")).select("bucket", F.col("m.id").alias("two"))
-    met = apart.join(first, "bucket").join(other, "bucket", "left")
-    pairs = materialise(met.select(F.when(F.col("root") != F.col("one_root"), F.col("one")).otherwise(F.col("two")).alias("a"), F.col("id").alias("b")).where("a IS NOT NULL").distinct(), "omh-second")
-    for spent in (roots, placed, apart, first):
+    placed = starred.where((F.col("size") > MANY) & (F.col("id") != F.col("centre"))).join(of("id"), "id", "left").join(of("centre"), "centre", "left").select("bucket", "id", root.alias("root"), (root != centre).alias("apart"))
+    by_chance = F.min(F.struct(F.xxhash64("bucket", "id").alias("chance"), "id")).alias("m")
+    held = materialise(placed.groupBy("bucket", "root").agg(by_chance, F.max("apart").alias("apart")).select("bucket", "root", "m.chance", "m.id", "apart"), "omh-held")
+    first = held.groupBy("bucket").agg(F.min(F.struct("chance", "id", "root")).alias("m"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    first = materialise(first.select("bucket", F.col("m.id").alias("one"), F.col("m.root").alias("one_root")), "omh-first")
+    met = held.join(first, "bucket")
+    other = met.where("root <> one_root").groupBy("bucket").agg(F.min(F.struct("chance", "id")).alias("m")).select("bucket", F.col("m.id").alias("two"))
+    partner = F.when(F.col("root") != F.col("one_root"), F.col("one")).otherwise(F.col("two"))
+    pairs = materialise(met.where("apart").join(other, "bucket").select(F.least(partner, "id").alias("a"), F.greatest(partner, "id").alias("b")).distinct(), "omh-second")
+    for spent in (roots, held, first):
         discard(spent)
     return pairs
 
@@ -486,15 +501,14 @@ def _cells(mixed: DataFrame) -> DataFrame:
     return placed.select("bucket", "id", "root", F.explode(cells).alias("at")).select("bucket", F.col("at.cell").alias("cell"), "id", "root", F.col("at.side").alias("side"))
 
 
-def _rest(starred: DataFrame, met: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b, similarity) for every pair of a bucket whose ends are in different components, but those that cannot be linked.
+def _rest(starred: DataFrame, roots: DataFrame, met: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b, similarity) for every pair of a bucket without its centre whose ends are in different components, but those that cannot be linked.
 
-    met: (a, b, similarity) of the pairs compared before.
+    met: (a, b, similarity) of the pairs compared before, a < b; roots: (node, root) of the components of their links.
 
     All members but those of a bucket's largest class meet all of it; buckets of one class have none.
     """
-    roots = materialise(components(met.where(F.col("similarity") >= SIMILARITY).select("a", "b")), "omh-roots")
-    placed = starred.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    placed = starred.where("id <> centre").select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     placed = materialise(placed, "omh-placed")
     held = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     most = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "root")).alias("m")).where("classes > 1")
@@ -502,11 +516,11 @@ def _rest(starred: DataFrame, met: DataFrame, words: DataFrame, sizes: DataFrame
     mixed = materialise(mixed.join(sizes.select("id", "n_words"), "id"), "omh-mixed")
     celled = materialise(_cells(mixed), "omh-cells")
     of = mixed.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).join(sizes, "id")
-    listed = celled.join(of, "id").groupBy("bucket", "cell").agg(F.collect_list(F.struct("id", "root", "side", "buckets", *MARKS)).alias("docs"))
-    done = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = listed.select("bucket", "docs").mapInArrow(_open_pairs, "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
+    before = F.filter("buckets", lambda b: b < F.col("bucket")).alias("buckets")
+    listed = celled.join(of, "id").groupBy("bucket", "cell").agg(F.collect_list(F.struct("id", "root", "side", before, *MARKS)).alias("docs"))
+    pairs = listed.select("bucket", "docs").mapInArrow(_open_pairs, "a long, b long").distinct().join(met.select("a", "b"), ["a", "b"], "left_anti")
     found = _compared(materialise(pairs, "omh-rest"), words)
-    for spent in (roots, placed, mixed, celled):
+    for spent in (placed, mixed, celled):
         discard(spent)
     return found
 
@@ -538,25 +552,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     # only keys of several rows are joined back; all other rows stand for themselves
     several = materialise(exact.where("n > 1"), "omh-copies")
-    copies = materialise(keyed.join(several, "key").select("id", "rep").distinct(), "omh-members")
+    copies = materialise(keyed.join(sized(several), "key").select("id", "rep").distinct(), "omh-members")
     folded = copies.where("id <> rep").select("id")
 
     reps = hashed.join(sized(folded), "id", "left_anti")
-    starred = _starred(reps.mapInArrow(_sketches, "id long, bands array<long>").select("id", F.explode("bands").alias("bucket")))
+    starred, pairs, ids = _starred(reps.mapInArrow(_sketches, "id long, bands array<long>").select("id", F.explode("bands").alias("bucket")))
     involved, repeated = _one_each(hashed)
-    pairs = starred.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    lengths = involved.join(sized(starred.select("id").distinct()), "id", "left_semi").mapInArrow(_sizes, SIZES)
-    lengths = materialise(lengths, "omh-lengths")
+    lengths = materialise(involved.join(sized(ids), "id", "left_semi").mapInArrow(_sizes, SIZES), "omh-lengths")
     first = _compared(_fitting(pairs, lengths), involved)
     enough = F.col("similarity") >= SIMILARITY
     again = _second(starred, first.where(enough).select("a", "b"))
-    done = first.select("a", "b").union(first.select("b", "a"))
-    second = _compared(_fitting(again.join(done, ["a", "b"], "left_anti"), lengths), involved)
+    second = _compared(_fitting(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), lengths), involved)
     met = first.union(second)
-    third = _rest(starred, met, involved, lengths)
-    near = met.union(third).where(enough).select("a", "b")
-    classes = materialise(components(near.union(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "omh-classes")
-    for spent in (texts, several, copies, *repeated, lengths, starred, again, first, second, third):
+    roots = materialise(components(met.where(enough).select("a", "b")), "omh-roots")
+    third = _rest(starred, roots, met, involved, lengths)
+    # an id of several rows may have a class by each of them; every other copy takes the class of the text it equals
+    of_several = sized(repeated[0])
+    late = third.where(enough).select("a", "b").union(copies.join(of_several, "id", "left_semi").select("id", "rep"))
+    joined = extended(roots, late)
+    once = copies.join(of_several, "id", "left_anti").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    once = once.select(F.col("id").alias("node"), F.coalesce("root", "rep").alias("root")).join(joined.select("node"), "node", "left_anti")
+    classes = materialise(joined.union(once), "omh-classes")
+    for spent in (texts, several, copies, *repeated, lengths, starred, pairs, ids, again, first, second, third, roots, joined):
         discard(spent)
     sizes = base.where("id IS NOT NULL AND text IS NOT NULL").join(classes, F.col("id") == F.col("node")).groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
     sizes = materialise(sizes, "omh-sizes")
