@@ -10,13 +10,14 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from trove.llm import components as components_of
 from trove.llm import order_minhash as omh
 from trove.llm import packing, warc
 from trove.llm.catalog import URL_RULES, tokenizer_file
-from trove.llm.components import components
+from trove.llm.components import components, extended
 from trove.llm.training_order import END_ID, numbered, permute, read_shards, sequences, training_order, with_slots, write_shards
 from trove.llm.url_filters import filter_urls, rule_table
-from trove.plans.scratch import scratch_path
+from trove.plans.scratch import materialise, scratch_path
 
 JSON, RANKS = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken")
 
@@ -293,6 +294,31 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 130)} == {100} and got[200] == 200
 
 
+def test_components_grow_as_at_once(spark):
+    before, after = [(5, 6), (6, 9), (20, 21), (30, 31)], [(9, 21), (40, 41), (50, 50), (41, 2)]
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    grown = extended(materialise(components(frame(before)), "roots"), frame(after))
+    assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, components(frame(before + after)).collect()))
+
+
+def test_buckets_of_two_are_done_with_their_pair(spark):
+    members = spark.createDataFrame([(2, 10), (1, 10), (3, 20), (4, 20), (5, 20), (6, 30), (6, 40), (6, 40)], "id long, bucket long")
+    starred, pairs, ids = omh._starred(members)
+    assert {tuple(r) for r in starred.select("bucket", "id", "centre", "size").collect()} == {(20, i, 3, 3) for i in (3, 4, 5)}
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (3, 4), (3, 5)] and {r.id for r in ids.collect()} == {1, 2, 3, 4, 5, 6}
+
+
+def test_copies_are_no_links(spark, monkeypatch):
+    """Equal texts take the class of the one that stands for them, without a part in the rounds of the components."""
+    written = []
+    monkeypatch.setattr(components_of, "materialise", lambda df, tag: written.append((tag, (found := materialise(df, tag)).count())) or found)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text) for i in range(30)] + [(40, f"{text} end"), (50, "something else altogether"), (51, "something else altogether")]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 31) for i in (*range(30), 40)} | {50: (50, 2), 51: (50, 2)}
+    assert max(n for tag, n in written if tag == "links") == 1
+
+
 # ---- packing
 
 

@@ -19,13 +19,6 @@ def _with_least(rows: DataFrame, key: str, by: str, least: DataFrame, how: str =
     return dealt.join(spread, (F.col(key) == F.col("c")) & (F.col("_salt") == F.col("_share")), how)
 
 
-def labels(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest neighbour of each node's smallest neighbour; of one component, if not always its least."""
-    both = links.select(F.col(a).alias("node"), F.col(b).alias("other")).union(links.select(b, a))
-    near = both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("first"))
-    return _with_least(near, "first", "node", near.select(F.col("node").alias("c"), F.col("first").alias("m"))).select("node", F.col("m").alias("root"))
-
-
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a scratch table, and their count and sum of hashes, taken while they were written."""
     seen = Observation()

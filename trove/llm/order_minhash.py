@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trove.llm.components import components, extended, labels
+from trove.llm.components import components, extended
 from trove.llm.words import words as words_of
 from trove.plans.scratch import discard, materialise, sized
 
@@ -459,12 +459,11 @@ def _starred(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return found, pairs, weight.select("id")
 
 
-def _second(starred: DataFrame, links: DataFrame) -> DataFrame:
+def _second(starred: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b), a < b: one member of each class of a large bucket but the centre's, with a member of another class, both by chance.
 
-    Classes are those of two steps along the links: where these part a component, more is compared than need be.
+    roots: (node, root) of the components so far.
     """
-    roots = materialise(labels(links), "omh-roots")
     of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
     root, centre = F.coalesce("id_root", "id"), F.coalesce("centre_root", "centre")
     placed = starred.where((F.col("size") > MANY) & (F.col("id") != F.col("centre"))).join(of("id"), "id", "left").join(of("centre"), "centre", "left").select("bucket", "id", root.alias("root"), (root != centre).alias("apart"))
@@ -476,7 +475,7 @@ def _second(starred: DataFrame, links: DataFrame) -> DataFrame:
     other = met.where("root <> one_root").groupBy("bucket").agg(F.min(F.struct("chance", "id")).alias("m")).select("bucket", F.col("m.id").alias("two"))
     partner = F.when(F.col("root") != F.col("one_root"), F.col("one")).otherwise(F.col("two"))
     pairs = materialise(met.where("apart").join(other, "bucket").select(F.least(partner, "id").alias("a"), F.greatest(partner, "id").alias("b")).distinct(), "omh-second")
-    for spent in (roots, held, first):
+    for spent in (held, first):
         discard(spent)
     return pairs
 
@@ -561,10 +560,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lengths = materialise(involved.join(sized(ids), "id", "left_semi").mapInArrow(_sizes, SIZES), "omh-lengths")
     first = _compared(_fitting(pairs, lengths), involved)
     enough = F.col("similarity") >= SIMILARITY
-    again = _second(starred, first.where(enough).select("a", "b"))
+    linked = materialise(components(first.where(enough).select("a", "b")), "omh-roots")
+    again = _second(starred, linked)
     second = _compared(_fitting(again.join(first.select("a", "b"), ["a", "b"], "left_anti"), lengths), involved)
     met = first.union(second)
-    roots = materialise(components(met.where(enough).select("a", "b")), "omh-roots")
+    roots = extended(linked, second.where(enough).select("a", "b"))
     third = _rest(starred, roots, met, involved, lengths)
     # an id of several rows may have a class by each of them; every other copy takes the class of the text it equals
     of_several = sized(repeated[0])
@@ -573,7 +573,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = copies.join(of_several, "id", "left_anti").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left")
     once = once.select(F.col("id").alias("node"), F.coalesce("root", "rep").alias("root")).join(joined.select("node"), "node", "left_anti")
     classes = materialise(joined.union(once), "omh-classes")
-    for spent in (texts, several, copies, *repeated, lengths, starred, pairs, ids, again, first, second, third, roots, joined):
+    for spent in (texts, several, copies, *repeated, lengths, starred, pairs, ids, again, first, second, third, linked, roots, joined):
         discard(spent)
     sizes = base.where("id IS NOT NULL AND text IS NOT NULL").join(classes, F.col("id") == F.col("node")).groupBy("root").agg(F.count(F.lit(1)).alias("class_size"))
     sizes = materialise(sizes, "omh-sizes")
